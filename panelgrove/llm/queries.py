@@ -6,15 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary import op8_token_binary
 from .decontamination import ORACLE_OP1, op1_decontamination
 from .language import op5_language
+from .licenses import op3_licenses
 from .near_duplicates import ORACLE_OP2, op2_near_duplicates
+from .nearest import op9_nearest
 from .packing import op6_packing
+from .passages import op7_passages
 from .pii import op10_pii
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op5_language, op6_packing, op10_pii)}
+    own = (
+        op1_decontamination,
+        op2_near_duplicates,
+        op3_licenses,
+        op4_toxicity,
+        op5_language,
+        op6_packing,
+        op7_passages,
+        op8_token_binary,
+        op9_nearest,
+        op10_pii,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
