@@ -63,6 +63,6 @@ def test_same_rows_as_sql(spark, name):
     assert cols == sorted(want.columns)
 
     def plain(df):
-        return sorted(tuple("-" if v is None or v != v else (round(v, 5) + 0.0 if isinstance(v, float) else str(v)) for v in row) for row in df[cols].astype(object).itertuples(index=False))
+        return sorted(repr(tuple("-" if v is None or v != v else (round(v, 5) + 0.0 if isinstance(v, float) else str(v)) for v in row)) for row in df[cols].astype(object).itertuples(index=False))
 
     assert plain(got) == plain(want)
