@@ -61,15 +61,20 @@ def _panel_sql() -> str:
     return f"SELECT code, date, seq, sector, {', '.join(_LATE.format(c=c) for c in PRICES)} FROM ({bars_sql(duck=True)})"
 
 
-def _book_query(make: Callable[[f.Book], dict[str, f.Ex]]) -> tuple[Callable, str]:
+def _book_query(make: Callable[[f.Book], dict[str, f.Ex]]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = f.Book()
         outputs = make(b)
-        return b.frame(_panel(spark, sf_dir), outputs).select("code", F.col("date").cast("string").alias("date"), *[F.expr(SHAPE.format(n)).alias(n) for n in outputs])
+        made = b.frame(_panel(spark, sf_dir), outputs)
+        return made.select("code", F.col("date").cast("string").alias("date"), *[F.expr(SHAPE.format(n)).alias(n) for n in outputs])
 
+    return query
+
+
+def _book_sql(make: Callable[[f.Book], dict[str, f.Ex]]) -> str:
     b = f.Book()
     outputs = make(b)
-    return query, b.sql(_panel_sql(), outputs, ["code", "CAST(date AS VARCHAR) AS date"], SHAPE)
+    return b.sql(_panel_sql(), outputs, ["code", "CAST(date AS VARCHAR) AS date"], SHAPE)
 
 
 def _books() -> dict[str, Callable[[f.Book], dict[str, f.Ex]]]:
@@ -85,8 +90,8 @@ def _books() -> dict[str, Callable[[f.Book], dict[str, f.Ex]]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _book_query(make)[0] for n, make in _books().items()} | jobs.queries()
+    return {n: _book_query(make) for n, make in _books().items()} | jobs.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _book_query(make)[1] for n, make in _books().items()} | jobs.oracle_sql()
+    return {n: _book_sql(make) for n, make in _books().items()} | jobs.oracle_sql()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -363,11 +363,13 @@ def ts_cumsum(x):
 
 
 def ts_cumprod(x):
-    from pyspark.sql import Window
-
     w = f"({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    over = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return x.book.staged(False, lambda n, s=x.s: F.when(F.expr(s).isNotNull(), F.product(F.expr(s)).over(over)).alias(n), f"CASE WHEN {x.d} IS NOT NULL THEN product({x.d}) OVER {w} END", x.level)
+
+    def made(name: str):
+        over = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        return F.when(F.expr(x.s).isNotNull(), F.product(F.expr(x.s)).over(over)).alias(name)
+
+    return x.book.staged(False, made, f"CASE WHEN {x.d} IS NOT NULL THEN product({x.d}) OVER {w} END", x.level)
 
 
 def ts_ewm(x, span):
