@@ -11,9 +11,9 @@ from .functions import factors as f
 from .plans import alphas, indicators, jobs
 from .sources.bars import bars, bars_sql
 
-#: Results are shown to the precision of a float, and to 9 digits near zero: sums may differ in
+#: Results are shown to the precision of a float, and to 10 digits near zero: sums may differ in
 #: their last places between engines. Overflowing powers are shown as missing.
-SHAPE = "CASE WHEN abs({0}) < 1e30 THEN CAST(CAST(round({0}, 9) AS FLOAT) AS DOUBLE) END"
+SHAPE = "CASE WHEN abs({0}) < 1e30 THEN CAST(CAST(round({0}, 10) AS FLOAT) AS DOUBLE) END"
 
 
 def _elementwise(b: f.Book) -> dict[str, f.Ex]:

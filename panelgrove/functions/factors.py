@@ -410,9 +410,9 @@ def _pair(x: Ex, y: Ex, w, agg: str) -> Ex:
 
 
 def ts_corr(x, y, w):
-    """Correlation of the rows where both have a value; rounded to 12 digits, so that equal
+    """Correlation of the rows where both have a value; rounded to 10 digits, so that equal
     correlations stay equal."""
-    return _pair(x, y, w, "round(covar_samp({u}, {v})@ / nullif(stddev_samp({u})@ * stddev_samp({v})@, 0), 12)")
+    return _pair(x, y, w, "round(covar_samp({u}, {v})@ / nullif(stddev_samp({u})@ * stddev_samp({v})@, 0), 10)")
 
 
 def ts_cov(x, y, w):
