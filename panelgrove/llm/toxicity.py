@@ -109,7 +109,7 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # examples, weights, begin of each block
+    postings: tuple[np.ndarray, np.ndarray, np.ndarray]  # examples and weights by term; begin of each block (terms, blocks + 1)
     block_max: np.ndarray  # (terms, blocks)
     weight: np.ndarray  # by label: undoes the sampling
     steps: tuple[np.ndarray, np.ndarray]  # votes and their calibrated scores
@@ -125,23 +125,25 @@ class Index:
     def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, exactly, ties by smaller id."""
         bound = v @ self.block_max[t]
-        found_i, found_s, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for term, q in zip(t, v):
-                who, w, begin = self.postings[term]
-                at, end = begin[b], begin[b + 1]
-                if end > at:
-                    score[who[at:end] - b * BLOCK] += q * w[at:end]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            found_i.append(hit + b * BLOCK)
-            found_s.append(score[hit])
+        order = np.argsort(-bound, kind="stable")
+        bound, who, w, begin = bound[order], *self.postings
+        found_i, found_s, least, done, step = [], [], 0.0, 0, 4
+        # Each round scores more blocks than the last, as far as their bounds reach the k-th best.
+        while done < len(order) and bound[done] > 0 and bound[done] >= least - 1e-9:
+            blocks = order[done : done + step]
+            blocks = blocks[(bound[done : done + step] > 0) & (bound[done : done + step] >= least - 1e-9)]
+            first, last = begin[t][:, blocks], begin[t][:, blocks + 1]
+            size = (last - first).ravel()
+            at = np.repeat(first.ravel() - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            total = np.bincount(who[at], np.repeat(np.repeat(v, len(blocks)), size) * w[at])
+            hit = np.flatnonzero(total > 0)
+            hit = hit[hit != skip]
+            found_i.append(hit)
+            found_s.append(total[hit])
             if sum(map(len, found_s)) >= k:
                 every = np.concatenate(found_s)
                 least = np.partition(every, len(every) - k)[len(every) - k]
+            done, step = done + step, step * 4
         if not found_i:
             return np.zeros(0, np.int64), np.zeros(0)
         i, s = np.concatenate(found_i), np.concatenate(found_s)
@@ -215,11 +217,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
             lists[t].append((i, w))
     index.ids, index.labels = np.array([r["doc_id"] for r in rows]), np.array([r["y"] for r in rows])
     index.block_max = np.zeros((len(vocabulary), blocks))
-    index.postings = []
+    begin = np.zeros((len(vocabulary), blocks + 1), np.int64)
     for t, own in enumerate(lists):
         who, w = np.array([p[0] for p in own], np.int64), np.array([p[1] for p in own])
         np.maximum.at(index.block_max[t], who // BLOCK, w)
-        index.postings.append((who, w, np.searchsorted(who, np.arange(blocks + 1) * BLOCK)))
+        begin[t] = sum(map(len, lists[:t])) + np.searchsorted(who, np.arange(blocks + 1) * BLOCK)
+    flat = [p for own in lists for p in own]
+    index.postings = (np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), begin)
     index.weight = 1 / rate
     none = (counts.get((1, False), 0), counts.get((0, False), 0))
     index.without = (none[0] + 0.5) / (sum(none) + 10)
