@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found exactly.
 
 Terms whose documents are labelled toxic far more often than chance allows (likelihood ratio over
-all learning rows) make the vocabulary; document frequencies are counted over all documents. A
+all learning rows) and at clearly higher odds than other documents make the vocabulary; document frequencies are counted over all documents. A
 bounded sample of labelled documents that hold such terms is kept as examples in an inverted index
 whose postings are cut into blocks of examples. A block's bound is the sum of its terms' largest
 weights times the query's; blocks are scored from the highest bound down until no bound reaches
@@ -36,6 +36,9 @@ from .common import BROADCAST_KEYS, map_arrow, settle, table
 VOCABULARY, EXAMPLES, BLOCK, NEIGHBOURS = 2048, 3000, 64, 15
 #: A term is taken if twice its log-likelihood ratio reaches this (chance: below one in a million).
 EVIDENCE = 24.0
+#: ... and its documents' odds of the label are at least so many times those of all: evidence alone
+#: grows with the table and would let in terms that say less and less.
+ODDS = 2.0
 #: Distinct terms a task counts before it hands them on.
 FLUSH = 200_000
 PREDICT_FROM = 0.7
@@ -80,7 +83,8 @@ def _vocabulary(labelled: DataFrame, pos: int, neg: int) -> list[str]:
         return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
 
     ratio = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
-    found = _term_counts(labelled).filter((a > (a + b) * share) & (ratio >= EVIDENCE)).select("term", ratio.alias("ratio"))
+    strong = (a + 0.5) * neg >= ODDS * (b + 0.5) * pos
+    found = _term_counts(labelled).filter((a > (a + b) * share) & (ratio >= EVIDENCE) & strong).select("term", ratio.alias("ratio"))
     return sorted(r["term"] for r in found.orderBy(F.desc("ratio"), "term").limit(VOCABULARY).collect())
 
 
