@@ -152,6 +152,16 @@ def test_passages(docs, none, spark):
     assert passages.edits(np.array([1, 2, 3]), np.array([1, 3, 4])) == 2
 
 
+def test_passage_whose_seeds_have_other_first_holders(spark):
+    rng = np.random.default_rng(1)
+    fresh = lambda n: [f"x{i}" for i in rng.integers(0, 10**9, n)]
+    passage = fresh(70)
+    parts = {10: passage[:40], 11: passage[30:], 20: passage, 25: passage[:45], 26: passage[20:60], 30: passage}
+    rows = [(i, " ".join(fresh(30) + w + fresh(30))) for i, w in parts.items()]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.source_id, r.start_word, r.end_word, r.source_start, r.edits) for r in out] == [(30, 20, 30, 100, 30, 0)]
+
+
 def test_licenses(docs, none):
     out = {r.doc_id: r for r in licenses.scan(docs, licenses.learn(docs)).collect()}
     assert [(x.line, x.family, x.confirmed) for x in out[7].licenses] == [(0, "apache-2.0", True)] and out[3].n_paragraphs == 0 and not out[1].licenses
