@@ -162,6 +162,27 @@ def test_passage_whose_seeds_have_other_first_holders(spark):
     assert [(r.doc_id, r.source_id, r.start_word, r.end_word, r.source_start, r.edits) for r in out] == [(30, 20, 30, 100, 30, 0)]
 
 
+def test_passages_in_another_order_and_twice(spark):
+    rng = np.random.default_rng(2)
+    fresh = lambda n: [f"x{i}" for i in rng.integers(0, 10**9, n)]
+    p1, p2, p3 = fresh(100), fresh(140), fresh(95)
+    parts = {10: p1 + p2 + p3, 20: p1 + p3 + p2, 30: p3 + fresh(40) + p3}
+    rows = [(i, " ".join(w)) for i, w in parts.items()]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id, r.start_word, r.end_word, r.source_start) for r in out} == {(20, 10, 0, 100, 0), (20, 10, 100, 195, 240), (20, 10, 195, 335, 100), (30, 10, 0, 95, 240), (30, 10, 135, 230, 240)}
+
+
+def test_passages_of_a_repeated_line(spark):
+    line = " ".join(f"x{i}" for i in range(12))
+    out = passages.shared_passages(spark.createDataFrame([(i, " ".join([line] * 20)) for i in (1, 2)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.source_id, r.start_word, r.end_word) for r in out] == [(2, 1, 0, 240)]
+
+
+def test_chain_keeps_what_lies_between_the_runs_of_a_path():
+    p, q = np.array([0, 10, 20, 110, 120, 210, 220, 230]), np.array([0, 10, 20, 310, 320, 110, 120, 130])
+    assert sorted(passages.chain(p, q)) == [[0, 1, 2], [3, 4], [5, 6, 7]]
+
+
 def test_licenses(docs, none):
     out = {r.doc_id: r for r in licenses.scan(docs, licenses.learn(docs)).collect()}
     assert [(x.line, x.family, x.confirmed) for x in out[7].licenses] == [(0, "apache-2.0", True)] and out[3].n_paragraphs == 0 and not out[1].licenses
