@@ -7,9 +7,9 @@ sequences spliced from pieces of documents in different languages, so code-switc
 labelled word by word. Forward-backward gives each word's probabilities; the mean over a
 document's words is the document's score for each language.
 
-The model is fitted on a bounded sample: about ``PER_LANGUAGE`` documents of at most
-``MAX_CHARS`` characters for each of the ``MAX_LANGUAGES`` most frequent languages, picked by a
-hash of the id. Everything is labelled: whole texts of all documents, in the tasks that read them.
+The model is fitted on a bounded sample of every language: about ``PER_LANGUAGE`` documents for each
+of up to ``MAX_LANGUAGES`` languages, fewer (one at least) if there are more, picked by a hash of the
+id; of a longer document a piece of ``MAX_CHARS`` characters. Everything is labelled: whole texts of all documents, in the tasks that read them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 if there is no labelled text to learn from. Ties go to the language that sorts first.
@@ -210,17 +210,22 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on the documented sample of ``labelled``."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(doc_id)).alias("h")).filter(
-        F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= MAX_CHARS)
-    )
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(doc_id)).alias("h"))
+    rows = rows.filter(F.col("l").isNotNull() & F.rlike("t", F.lit(r"\p{L}")))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()
     if not sizes:
         return None
-    keep = F.lit(False)
-    for r in sizes:
-        share = min(1.0, PER_LANGUAGE / r["count"])
-        keep = keep | ((F.col("l") == r["l"]) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)))
-    sample = rows.filter(keep).limit(2 * PER_LANGUAGE * len(sizes)).collect()
+    # A word has a probability for each language, so what the fit holds grows with both.
+    most = min(PER_LANGUAGE, max(1, PER_LANGUAGE * MAX_LANGUAGES**2 // len(sizes) ** 2))
+    shares = [(r["l"], min(1.0, most / r["n"])) for r in sizes]
+    bounds = labelled.sparkSession.createDataFrame([(x, int(s * (1 << 20)) + (s >= 1)) for x, s in shares], "l string, bound long")
+    at = F.pmod("h", F.length("t") - MAX_CHARS + 1)
+    pieces = rows.withColumn("t", F.when(F.length("t") > MAX_CHARS, F.substring("t", (at + 1).cast("int"), F.lit(MAX_CHARS))).otherwise(F.col("t")))
+    sample = pieces.join(F.broadcast(bounds), "l").filter(F.pmod("h", F.lit(1 << 20)) < F.col("bound")).select("t", "l").limit(2 * most * len(sizes)).collect()
+    seen = {r["l"] for r in sample}
+    if missing := [(r["l"], r["low"]) for r in sizes if r["l"] not in seen]:
+        lowest = labelled.sparkSession.createDataFrame(missing, "l string, h long")
+        sample += pieces.join(F.broadcast(lowest), ["l", "h"]).dropDuplicates(["l"]).select("t", "l").collect()
     return fit(sorted((r["t"], r["l"]) for r in sample))
 
 

@@ -98,6 +98,17 @@ def test_language(docs, none):
     assert language.learn(none) is None and language.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_from_every_language(spark, monkeypatch):
+    rows = [(i, f"wort{i % 70}a wort{i % 70}b", f"l{i % 70}") for i in range(2100)] + [(3000, "lang " * 5000, "long")]
+    monkeypatch.setattr(language, "fit", lambda rows: rows)
+    sample = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in sample} == {*(f"l{i}" for i in range(70)), "long"}
+    assert max(len(t) for t, _ in sample) == language.MAX_CHARS
+    monkeypatch.setattr(language, "PER_LANGUAGE", 1)
+    few = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in few} == {lang for _, lang in sample} and len(few) < 250
+
+
 def test_packing_round_trip(docs, none):
     out = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), window=64).collect()
     encode, texts = tokens.encoder(), {r[0]: r[1] for r in ROWS}
