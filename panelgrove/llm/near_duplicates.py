@@ -2,26 +2,34 @@
 
 A document's set holds its distinct runs of ``width`` words; equal sets are joined into one class
 first, so exact copies cost one aggregation. Each class gets a signature of ``HASHES`` minima.
-Every tree of the forest is one order of the signature, starting at another place. Documents that
-agree on the first values of an order stand next to each other in it and form a region: its depth
-is ``DEPTHS[0]`` where the region is small, and grows where more than ``REGION`` documents agree
-(adaptive depth), down to the whole signature. Inside a region, those with the longest common
-prefixes and most equal signature values come first: a region hands on a spanning tree of its
-best matches, not all its pairs. Links are confirmed by the exact overlap of full sets, components
-grow from confirmed links, and in the end every pair of a region whose ends are still in different
-components and whose signatures agree well enough is checked too. Documents with equal whole
-signatures in a region that cannot be split further are each compared with its first one.
-
-At similarity 0.85 one tree brings a pair together with probability 0.52, so 30 trees miss it with
-probability 2e-10 in regions of the first depth (at 0.8: 1e-7).
+Every tree of the forest is one order of the signature, starting at another place; documents that
+agree on the first ``DEPTH`` values of an order form a region of it. Three steps follow:
+
+1. Each tree is sorted by the whole signature, and every document meets its neighbours on both
+   sides, those with the longest common prefix. The best of these links of each document are
+   confirmed on full sets, then those that are still between components.
+2. In regions of at most ``REGION`` documents every pair of different components whose signatures
+   agree well enough is confirmed too.
+3. Larger regions are joined into families. A family is compared exactly and as a whole on its full
+   sets, in blocks of at most ``BLOCK`` shingles (or one document) and without putting out pairs:
+   a block task counts overlaps only between documents of different components and gives the links
+   that join them. Documents whose sizes alone rule a link out do not meet.
+
+So a pair is missed only if no tree gives it a common prefix of ``DEPTH`` values: at similarity
+0.85 one tree brings a pair together with probability 0.52, so 30 trees miss it with probability
+2e-10 (at 0.8: 1e-7), whatever the size of the region. Step 3 is quadratic in those documents of a
+family that are alike, but in no component with the rest; its memory is bounded.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing
 and is its own component; with fewer words than ``width`` the whole sequence is the one element;
-a null id takes no part and gets a null component; rows that share an id count as one document.
+a null id takes no part and gets a null component; rows that share an id count as one document, and
+each is reported; ties cannot occur, as components are named by their smallest id; very long texts
+are hashed whole, in parts; an empty table gives an empty one; other columns of ``docs`` are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, among, groups, map_arrow, odd_constants, raw_texts, settle, shingle_hashes, table
-from .components import merge
+from .common import BROADCAST_KEYS, WordHash, among, groups, map_arrow, odd_constants, raw_texts, settle, shingle_hashes, table
+from .components import components, merge
 
-TREES, DEPTHS, REGION = 30, (4, 6, 9, 13, 20, 32, 120), 192
-HASHES = TREES * DEPTHS[0]
-#: Rounds that confirm only the best open link of each component, before all that are left.
-BEST_ROUNDS = 1
+TREES, DEPTH, REGION = 30, 4, 48
+HASHES = TREES * DEPTH
+#: Shingles of a block of a large family; two blocks meet in a task.
+BLOCK = 1_500_000
+#: Documents of a block whose overlaps are counted at once.
+STRIPE = 256
 #: Shingles hashed at once for a signature.
 PART = 4096
 
@@ -81,45 +91,13 @@ def _sets(text: str, width: int, full: bool):
     return make
 
 
-def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (key, rep) of regions of at most ``REGION`` documents, and candidate pairs (a, b)
-    from regions of two and from regions of one whole signature."""
-    spark = reps.sparkSession
-    twice = F.concat("sig", "sig")
-
-    def key(tree, depth: int):
-        return F.xxhash64(F.lit(depth), tree, F.substring(twice, 1 + 2 * DEPTHS[0] * tree, 2 * depth))
-
-    def keyed(depth: int):
-        return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(depth), t, F.col("sig2").substr(1 + 2 * DEPTHS[0] * t, F.lit(2 * depth))).alias("key")))
-
-    rows = reps.withColumn("sig2", twice).select("rep", F.explode(keyed(DEPTHS[0])).alias("x")).select("rep", "x.tree", "x.key")
-    members, pairs = [], []
-    for level, depth in enumerate(DEPTHS):
-        if level:
-            rows = settle(rows, "region-rows")
-        sizes = settle(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("n > 1"), "regions")
-        pairs.append(sizes.filter("n = 2").select("a", "b"))
-        small = sizes.filter((F.col("n") > 2) & (F.col("n") <= REGION)).select("key")
-        members.append(rows.join(small, "key").select("key", "rep"))
-        large = sizes.filter(F.col("n") > REGION).select("key", "a")
-        if not large.limit(1).count():
-            break
-        if level == len(DEPTHS) - 1:
-            pairs.append(rows.join(large, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
-            break
-        deeper = DEPTHS[level + 1]
-        rows = (
-            rows.join(large.select("key"), "key", "left_semi")
-            .join(reps.withColumn("sig2", twice), "rep")
-            .select("rep", "tree", F.xxhash64(F.lit(deeper), "tree", F.col("sig2").substr(1 + 2 * DEPTHS[0] * F.col("tree"), F.lit(2 * deeper))).alias("key"))
-        )
-    out_m, out_p = members[0], pairs[0]
-    for m in members[1:]:
-        out_m = out_m.union(m)
-    for p in pairs[1:]:
-        out_p = out_p.union(p)
-    return settle(out_m, "members"), settle(out_p.distinct(), "pairs")
+def _members(reps: DataFrame) -> DataFrame:
+    """(rep, tree, key, n): the regions of more than one document, with their sizes."""
+    prefix = F.col("sig2").substr(1 + 2 * DEPTH * F.col("tree"), F.lit(2 * DEPTH))
+    rows = reps.select("rep", F.concat("sig", "sig").alias("sig2"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("rep", "tree", F.xxhash64("tree", prefix).alias("key"))
+    sizes = settle(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "regions")
+    return settle(rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes, "key"), "members")
 
 
 def _least_equal(percent: int) -> int:
@@ -128,69 +106,158 @@ def _least_equal(percent: int) -> int:
     return int(HASHES * j - 6 * (HASHES * j * (1 - j)) ** 0.5)
 
 
-def _region_pairs(percent: int, spanning: bool):
-    """Pairs of each region by equal signature values: a spanning tree of the best, or all
-    between different components."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal, pa.int64())], names=["a", "b", "equal"])
+
+
+_PAIRS = "a long, b long, equal long"
+
+
+def _neighbours(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Neighbours in the sorted order of each tree that agree well enough. Orders are dealt by range, so
+    a prefix that very many share is split."""
     least = _least_equal(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "equal"]
-        for g in groups(batches, "key"):
-            ids = g.column("rep").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(len(ids), HASHES)
-            comp = None if spanning else g.column("comp").to_numpy()
-            if spanning:
-                # Prim's algorithm: the tree grows by the outside document that matches best.
-                best, near = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
-                outside, at, out = np.ones(len(ids), bool), 0, []
-                for _ in range(len(ids) - 1):
-                    outside[at] = False
-                    equal = (sig == sig[at]).sum(axis=1)
-                    closer = outside & (equal > best)
-                    best[closer], near[closer] = equal[closer], at
-                    at = int(np.argmax(np.where(outside, best, -2)))
-                    out.append((near[at], at, best[at]))
-                x, y, e = np.array(out).T
-            else:
-                rows = []
-                for i in range(len(ids) - 1):
-                    j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                    if len(j):
-                        equal = (sig[j] == sig[i]).sum(axis=1)
-                        rows.append((np.full(len(j), i), j, equal))
-                if not rows:
-                    continue
-                x, y, e = (np.concatenate(c) for c in zip(*rows))
-            keep = (e >= least) & (ids[x] != ids[y])
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, rep, order = batch.column("tree").to_numpy(), batch.column("rep").to_numpy(), _signatures(batch.column("order"))
+            if last is not None:
+                tree, rep, order = np.append(last[0], tree), np.append(last[1], rep), np.concatenate([last[2], order])
+            last = tree[-1:], rep[-1:], order[-1:]
+            equal = (order[1:] == order[:-1]).sum(axis=1)
+            keep = (tree[1:] == tree[:-1]) & (order[1:, :DEPTH] == order[:-1, :DEPTH]).all(axis=1) & (equal >= least) & (rep[1:] != rep[:-1])
             if keep.any():
-                x, y, e = ids[x[keep]], ids[y[keep]], e[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(e, pa.int64())], names=names)
-
-    return run
-
+                yield _pairs(rep[:-1][keep], rep[1:][keep], equal[keep])
 
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("equal", T.LongType())])
+    order = F.concat("sig", "sig").substr(1 + 2 * DEPTH * F.col("tree"), F.lit(2 * HASHES))
+    rows = members.join(reps, "rep").select("tree", order.alias("order"), "rep")
+    dealt = rows.repartitionByRange("tree", "order", "rep").sortWithinPartitions("tree", "order", "rep")
+    return dealt.mapInArrow(run, _PAIRS).groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
-def _by_region(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    dealt = members.repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(_region_pairs(percent, spanning), _PAIRS)
+def _open_regions(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their component, of regions that hold more than one."""
+    known = members.withColumn("comp", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return known.join(mixed, "key", "left_semi")
 
 
-def _matched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with their number of equal signature values, where it is large enough."""
-    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+def _region_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs between components in regions of at most ``REGION`` documents."""
+    least = _least_equal(percent)
 
-    def make():
-        def work(b):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in ("sa", "sb"))
-            return [(x == y).sum(axis=1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "key"):
+            ids, comp, sig = g.column("rep").to_numpy(), g.column("comp").to_numpy(), _signatures(g.column("sig"))
+            x, y = np.triu_indices(len(ids), 1)
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+            equal = (sig[x] == sig[y]).sum(axis=1)
+            keep = (equal >= least) & (ids[x] != ids[y])
+            if keep.any():
+                yield _pairs(ids[x[keep]], ids[y[keep]], equal[keep])
+
+    rows = members.select("key", "rep", "comp").join(reps, "rep").repartition("key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(run, _PAIRS).select("a", "b").distinct()
+
+
+def _links(shingles: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components among some sets, found from exact overlaps; at most one
+    fewer than there are sets."""
+    n = len(shingles)
+    size = np.array([len(s) for s in shingles])
+    flat, owner = np.concatenate(shingles), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    fresh = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(fresh) - 1
+    begin = np.append(np.flatnonzero(fresh), len(flat))
+    held = np.diff(begin)
+    # Shingles of many documents are counted by a product of matrices, rare ones by their lists.
+    common = held > max(8, n // 8)
+    place = np.cumsum(common) - 1
+    dense = np.zeros((n, int(common.sum())), np.float32)
+    inside = common[column]
+    dense[owner[inside], place[column[inside]]] = 1
+    rare = ~inside & (held[column] > 1)
+    by_doc = np.argsort(owner[rare], kind="stable")
+    lists, starts = column[rare][by_doc], np.searchsorted(owner[rare][by_doc], np.arange(n + 1))
+    parent = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found = []
+    values, counts = np.unique(comp, return_counts=True)
+    outside = np.flatnonzero(comp != values[np.argmax(counts)])  # pairs inside the largest need no look
+    for at in range(0, len(outside), STRIPE):
+        rows = outside[at : at + STRIPE]
+        both = dense[rows] @ dense.T
+        for r, i in enumerate(rows):
+            cols = lists[starts[i] : starts[i + 1]]
+            many = held[cols]
+            if len(cols):
+                where = np.repeat(begin[cols] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                both[r] += np.bincount(owner[where], minlength=n)
+        linked = 100 * both >= percent * (size[rows][:, None] + size[None, :] - both)
+        linked &= comp[rows][:, None] != comp[None, :]
+        for r, j in zip(*np.nonzero(linked)):
+            x, y = root(int(comp[rows[r]])), root(int(comp[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(rows[r]), int(j)))
+    return found
+
+
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of the regions of more than ``REGION`` documents."""
+    edges = members.join(members.groupBy("key").agg(F.min("rep").alias("a")), "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    family = components(edges).select(F.col("id").alias("rep"), F.col("comp").alias("family"))
+    docs = family.join(members.select("rep", "comp").distinct(), "rep").join(sets.select("rep", (F.length("hashes") / 8).alias("n")), "rep")
+    # Of a family that fills more than a block, each size band is cut into blocks of its own; a
+    # link joins documents of the same band or of neighbouring ones.
+    whole = docs.groupBy("family").agg(F.sum("n").alias("all"))
+    band = F.when(F.col("all") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("n")) / max(1e-6, -math.log(percent / 100))).cast("int"))
+    docs = settle(docs.join(whole, "family").select("rep", "comp", "family", band.alias("band"), "n"), "families")
+    blocks = docs.groupBy("family", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    above = blocks.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = blocks.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    around = blocks.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left")
+    own = docs.join(around, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+
+    def tasks(count: str, first, second, third, fourth):
+        each = F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda j: F.xxhash64("family", first(j), second(j), third(j), fourth(j)))
+        return F.when(F.col(count) > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    b, k = F.col("band"), F.col("block")
+    units = F.concat(
+        tasks("blocks", lambda j: b, lambda j: F.least(j, k), lambda j: b, lambda j: F.greatest(j, k)),
+        tasks("above", lambda j: b, lambda j: k, lambda j: b + 1, lambda j: j),
+        tasks("below", lambda j: b - 1, lambda j: j, lambda j: b, lambda j: k),
+    )
+    rows = own.select("rep", "comp", F.explode(units).alias("key"))
+    rows = _open_regions(rows.drop("comp"), docs.select(F.col("rep").alias("id"), "comp").distinct())
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "key"):
+            ids, comp = g.column("rep").to_numpy(), g.column("comp").to_numpy()
+            found = _links([np.frombuffer(h, np.uint64) for h in g.column("hashes").to_pylist()], comp, percent)
+            if found:
+                x, y = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
-    out = map_arrow(pairs.join(left, "a").join(right, "b"), make, [("equal", T.LongType())], ["a", "b"])
-    return out.filter(F.col("equal") >= _least_equal(percent))
+    dealt = rows.join(sets.select("rep", "hashes"), "rep").select("key", "rep", "comp", "hashes").repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,6 +282,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.filter("linked").select("a", "b").distinct()
 
 
+def _added(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components (id, comp) after adding links."""
+    links = settle(links, "confirmed")
+    return merge(labels, links) if links.limit(1).count() else labels
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` (the smallest id
     linked to it, directly or through others) and ``kept`` (it is that document). Ids are whole
@@ -225,13 +298,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     usable = first.filter("key is not null and id is not null")
     # Rows that share an id are one document: they are linked through it.
     reps = settle(usable.groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).select("rep", "sig"), "classes")
-    members, pairs = _regions(reps)
-    labels = None
-    small = _matched(pairs, reps, percent)
-    trees = _by_region(members.join(reps, "rep"), percent, spanning=True)
-    open_pairs = settle(small.unionByName(trees).groupBy("a", "b").agg(F.max("equal").alias("equal")), "candidates")
-    ids = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).union(members.select("rep")).distinct()
-    involved = among(rows.withColumnRenamed("id", "rep"), "rep", settle(ids, "involved"))
+    members = _members(reps)
+    candidates = settle(_neighbours(members, reps, percent), "candidates")
+    ids = settle(members.select("rep").distinct(), "involved")
+    involved = among(rows.withColumnRenamed("id", "rep"), "rep", ids)
     sets = settle(
         map_arrow(involved, _sets("text", width, True), [("n", T.LongType()), ("key", T.BinaryType()), ("hashes", T.BinaryType())], ["rep"])
         .filter("hashes is not null")
@@ -239,33 +309,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .dropDuplicates(["rep", "key"]),
         "full-sets",
     )
-    for turn in range(BEST_ROUNDS + 2):
-        if turn <= BEST_ROUNDS:
-            todo = open_pairs
-        else:  # what is left of the regions
-            around = members.join(reps, "rep")
-            around = around.withColumn("comp", F.col("rep")) if labels is None else around.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            todo = _by_region(around, percent, spanning=False).groupBy("a", "b").agg(F.max("equal").alias("equal"))
-            if tried is not None:
-                todo = todo.join(tried, ["a", "b"], "left_anti")
-        if turn < BEST_ROUNDS:
-            # Each component's best open link.
-            best = F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b")))
-            ends = todo.withColumn("end", F.explode(F.array("ca", "cb"))) if turn else todo.withColumn("end", F.explode(F.array("a", "b")))
-            todo = ends.groupBy("end").agg(best.alias("p")).select("p.a", "p.b").distinct()
-        todo = settle(todo.select("a", "b"), "to-confirm")
-        done = settle(_confirm(todo, sets, percent), "confirmed")
-        tried = todo if not turn else tried.union(todo)
-        if done.limit(1).count():
-            labels = merge(labels, done)
-        if turn < BEST_ROUNDS:
-            left = open_pairs.select("a", "b", "equal").join(tried, ["a", "b"], "left_anti")
-            if labels is not None:
-                left = left.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-                left = left.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
-            else:
-                left = left.withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
-            open_pairs = settle(left, "open")
+    # Each document's best neighbour first.
+    best = F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b")))
+    ends = candidates.withColumn("end", F.explode(F.array("a", "b"))).groupBy("end").agg(best.alias("p"))
+    labels = _added(None, _confirm(settle(ends.select("p.a", "p.b").distinct(), "best"), sets, percent))
+    # Then what lies between components: other neighbours and small regions, and large regions.
+    around = settle(_open_regions(members, labels), "open-regions")
+    small = _region_pairs(around.where(F.col("n") <= REGION), reps, percent)
+    apart = candidates.select("a", "b")
+    if labels is not None:
+        for end in ("a", "b"):
+            apart = apart.join(labels.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+        apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    labels = _added(labels, _confirm(settle(small.union(apart).distinct(), "apart"), sets, percent))
+    large = around.where(F.col("n") > REGION)
+    if large.limit(1).count():
+        if labels is not None:
+            large = settle(_open_regions(large.drop("comp"), labels), "large-regions")
+        labels = _added(labels, _family_links(large, sets, percent))
     # Back to all rows: only classes that have copies or links need a look-up.
     grouped = usable.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     if labels is None:

@@ -85,11 +85,41 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
             if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    monkeypatch.setattr(near_duplicates, "REGION", 16)  # deep regions on small data
+    monkeypatch.setattr(near_duplicates, "REGION", 16)  # families and blocks on small data
+    monkeypatch.setattr(near_duplicates, "BLOCK", 1000)
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in range(240)}
 
 
+def test_near_duplicates_in_one_large_family(spark):
+    """2,200 texts of one template, alike at 0.82 at most but for pairs alike at 0.86: production constants."""
+    rng = np.random.default_rng(4)
+    common, rows = [f"t{i}" for i in range(820)], []
+    for i in range(2200):
+        w = common + [f"p{i // 2}_{j}" for j in range(22)] + [f"o{i}_{j}" for j in range(68)]
+        rows.append((i, " ".join(rng.permutation(w))))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i in range(2200)}
+
+
+def test_links_of_a_family_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(150)]
+    comp = np.arange(150)
+    comp[40:60] = 40
+
+    def joined(links):
+        root = list(comp)
+        for x, y in links:
+            a, b = root[x], root[y]
+            root = [min(a, b) if c in (a, b) else c for c in root]
+        return root
+
+    brute = [(x, y) for x in range(150) for y in range(x) if 100 * (k := len(np.intersect1d(sets[x], sets[y]))) >= 60 * (len(sets[x]) + len(sets[y]) - k)]
+    found = near_duplicates._links(sets, comp, 60)
+    assert joined(found) == joined(brute) and {(max(p), min(p)) for p in found} <= {*brute} and len(found) < 150
+
+
 def test_language(docs, none):
     model = language.fit([("der die das und nicht ist von", "de"), ("the and that with from this have", "en")] * 20)
     out = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(docs, model, keep=["doc_id"]).collect()]
