@@ -45,7 +45,7 @@ from .components import components, merge
 TREES, DEPTH, REGION = 30, 4, 48
 HASHES = TREES * DEPTH
 #: Shingles of a block of a large family; two blocks meet in a task.
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: Documents of a block whose overlaps are counted at once.
 STRIPE = 256
 #: Shingles hashed at once for a signature.

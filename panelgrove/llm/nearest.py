@@ -1,20 +1,27 @@
 """Nearest vectors by a hash-prefix forest.
 
-Each tree hashes every vector to a string of ``BITS`` random-hyperplane bits and keeps the strings
-sorted, cut into blocks of at most ``BLOCK`` rows that carry their vectors. Vectors that share a
-prefix with a query stand together in the sorted order, so a prefix of any length is one range of
-it. Queries descend to long prefixes and ascend in all trees at once, from ``LEVELS[0]`` bits to
-shorter ones: at each level a query meets the blocks its ranges touch, scores the rows inside, and
-keeps its best. A query stops once its k-th best score is so good that an unseen vector of that
-nearness would have been missed by all trees with a probability of at most ``1 - RECALL``; the
-last level, the empty prefix, is the whole table, so every query ends. Clustered queries stop
-early; among vectors with no near neighbours the ascent has to go far, for any method of this kind.
+Each of ``TREES`` trees hashes every vector to a string of ``BITS`` random-hyperplane bits and sorts the
+strings; trees hold ids only. Vectors that share a prefix with a query stand next to it, so descending to
+the query's own place meets its longest-prefix matches, however long these are there, and walking up to
+``REACH`` rows to both sides, in all trees at once, ascends to shorter prefixes. All rows met are scored
+on the original vectors. How far each tree has been seen (every row that shares a prefix of so many bits
+has been met) gives the probability that a vector as near as the k-th best would have been missed by
+all trees; a query is done where that is at most ``1 - RECALL``.
+
+The others ascend to the root, the empty prefix: they meet all rows, in blocks of at most
+``QUERY_BLOCK`` queries and ``ROW_BLOCK`` rows, and so are exact. Clustered queries are done in
+the trees; among vectors without near neighbours (cosines around 0.5 in 64 dimensions) no prefix is long
+enough to tell them from the rest at this recall, and all go to the root: work in proportion to
+queries times rows, data moved in proportion to that divided by the block sizes.
 
 For the largest inner product, vectors are lifted to the unit sphere by the largest norm first.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without id; only vectors of equal length are compared; a query never finds its own
-id; of rows that share an id the best counts; with fewer than k candidates all are returned.
+id; of rows that share an id the smallest vector counts; scores are summed in one order, so equal
+vectors score equal and ties go to the smaller id; of equal vectors only the ``k + 1`` with the
+smallest ids can be answers; with fewer than k candidates all are returned; empty tables give none;
+other columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-TREES, BITS, BLOCK, RECALL = 8, 30, 4096, 0.96
-LEVELS = (20, 11, 7, 5, 3, 2, 1, 0)
-#: Queries that meet a block together.
-TOGETHER = 512
+TREES, BITS, REACH, RECALL = 16, 48, 16, 0.99
+QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Rows of a sorted order that are looked at together.
+CHUNK = 8192
+#: Scores of matrix products closer than this share of the largest possible one may tie.
+CLOSE = 1e-12
 
 
 def usable(v: Column) -> Column:
@@ -40,193 +49,186 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(97 + dim)).standard_normal((TREES * BITS, dim + 1))
+def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row, each summed in the same order."""
+    return np.ascontiguousarray(x * y).sum(axis=1)
 
 
 def _hashes(x: np.ndarray, last: np.ndarray) -> np.ndarray:
     """(rows, TREES) hash strings as numbers of unit vectors (x, last)."""
-    p = _planes(x.shape[1])
+    p = np.random.Generator(np.random.PCG64(97 + x.shape[1])).standard_normal((TREES * BITS, x.shape[1] + 1))
     bits = (x @ p[:, :-1].T + last[:, None] * p[:, -1] > 0).reshape(len(x), TREES, BITS)
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def _by_length(b: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(v: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, vectors) for each vector length of a batch."""
-    v = b.column(column)
     sizes = v.value_lengths().to_numpy()
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
         yield rows, v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
-def _hashed(vectors: DataFrame, top: float | None) -> DataFrame:
-    """(id, tree, hash, vec) for each row and tree; trees of vectors of length d are numbered
-    from d * TREES. ``top``: the largest norm, or None for queries."""
+def _hashed(vectors: DataFrame, top: float, asked: bool) -> DataFrame:
+    """(tree, hash, asked, id) for each row and tree; trees of vectors of length d are numbered from
+    d * TREES. Rows are lifted by ``top``, the largest norm; queries (``asked``) are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy()
-            for rows, x in _by_length(b, "v"):
+            for rows, x in _by_length(b.column("v")):
                 norm = np.linalg.norm(x, axis=1)
-                if top is None:
-                    h = _hashes(x / norm[:, None], np.zeros(len(x)))
-                else:
-                    h = _hashes(x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2)))
-                data = [r.tobytes() for r in x]
-                for t in range(TREES):
-                    cols = [pa.array(ids[rows]), pa.array(np.full(len(rows), x.shape[1] * TREES + t)), pa.array(h[:, t]), pa.array(data, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "tree", "hash", "vec"])
+                h = _hashes(x / norm[:, None], np.zeros(len(x))) if asked else _hashes(x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2)))
+                tree = np.broadcast_to(x.shape[1] * TREES + np.arange(TREES), h.shape)
+                cols = [tree.ravel(), h.ravel(), np.full(h.size, asked), np.repeat(ids[rows], TREES)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tree", "hash", "asked", "id"])
 
-    return vectors.mapInArrow(run, "id long, tree long, hash long, vec binary")
+    return vectors.mapInArrow(run, "tree long, hash long, asked boolean, id long")
 
 
-def _blocks(hashed: DataFrame) -> DataFrame:
-    """Sorted arrays in blocks: number, tree, first and last hash, and the rows' hashes, ids and vectors."""
+def _common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal leading bits of hash strings."""
+    return BITS - np.frexp((x ^ y).astype(np.float64))[1]
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """(id, vec_id, tree, seen): the rows that each query meets in each tree; all rows that share a
+    prefix of ``seen`` bits with it are among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = TaskContext.get().partitionId() << 32, []
+        names = ["tree", "hash", "asked", "id"]
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]
+        waiting: list[list[np.ndarray]] = [[] for _ in names]
+        n = first = 0  # rows of held before ``first`` are answered queries, or rows of the data
+
+        def look(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, n, first
+            tree, h, asked, ids = held = [np.concatenate([x, *w]) for x, w in zip(held, waiting)]
+            waiting, n = [[] for _ in names], 0
+            data = np.flatnonzero(~asked)
+            q = first + np.flatnonzero(asked[first:])
+            rank = np.searchsorted(data, q)
+            ready = np.full(len(q), True) if final else rank + REACH <= len(data)
+            left = q[~ready]
+            first = int(left[0]) if len(left) else len(asked)
+            q, rank = q[ready], rank[ready]
+            if len(q) and len(data):
+                at = rank[:, None] + np.arange(-REACH, REACH)
+                inside = (at >= 0) & (at < len(data))
+                row = data[np.clip(at, 0, len(data) - 1)]
+                inside &= tree[row] == tree[q][:, None]
+                shared = _common_prefix(h[row], h[q][:, None])
+                # The outermost rows met bound what is unseen; where a side is empty nothing is known.
+                before, after = np.where(inside, shared, BITS)[:, :REACH].min(axis=1), np.where(inside, shared, BITS)[:, REACH:].min(axis=1)
+                before[~inside[:, :REACH].any(axis=1)] = BITS
+                after[~inside[:, REACH:].any(axis=1)] = BITS
+                seen = 1 + np.maximum(before, after)
+                inside &= ids[row] != ids[q][:, None]
+                who, which = np.nonzero(inside)
+                cols = [ids[q][who], ids[row[who, which]], tree[q][who], seen[who]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "vec_id", "tree", "seen"])
+            keep = data[max(0, int(np.searchsorted(data, first)) - REACH)] if len(data) > REACH else 0
+            held, first = [x[keep:] for x in held], first - int(keep)
+
+        for b in batches:
+            for w, c in zip(waiting, names):
+                w.append(b.column(c).to_numpy(zero_copy_only=False))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield from look(False)
+        yield from look(True)
+
+    ordered = entries.repartitionByRange("tree", "hash", "id").sortWithinPartitions("tree", "hash", "asked", "id")
+    return ordered.mapInArrow(run, "id long, vec_id long, tree long, seen long")
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            nonlocal number
-            h = rows.column("hash").to_numpy()
-            ids = rows.column("id").to_numpy()
-            data = b"".join(rows.column("vec").to_pylist())
-            number += 1
-            row = (number, rows.column("tree")[0].as_py(), int(h[0]), int(h[-1]), h.tobytes(), ids.tobytes(), data)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["block", "tree", "first", "last", "hashes", "ids", "data"])
 
+def _rescored(met: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores of pairs (id, vec_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tree = b.column("tree").to_numpy()
-            cuts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), b.num_rows]
-            for at, end in zip(cuts, cuts[1:]):
-                if held and held[0].column("tree")[0].as_py() != tree[at]:
-                    yield out(pa.Table.from_batches(held))
-                    held = []
-                while at < end:
-                    take = min(end - at, BLOCK - sum(x.num_rows for x in held))
-                    held.append(b.slice(at, take))
-                    at += take
-                    if sum(x.num_rows for x in held) == BLOCK:
-                        yield out(pa.Table.from_batches(held))
-                        held = []
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    ordered = hashed.repartitionByRange("tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
-    return ordered.mapInArrow(run, "block long, tree long, first long, last long, hashes binary, ids binary, data binary")
-
-
-def _visits(queries: DataFrame, ranges, level: int) -> DataFrame:
-    """(block, id, from, to, vec): the blocks that each query's prefix ranges touch."""
-    step = 1 << (BITS - level)
+            for at, x in _by_length(b.column("v")):
+                y = b.column("q").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(x.shape)
+                cols = [b.column(c).take(pa.array(at)) for c in ("id", "vec_id")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(scores(x, y))], names=["id", "vec_id", "score"])
+
+    pairs = met.select("id", "vec_id").distinct()
+    both = pairs.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select("id", F.col("v").alias("q")), "id")
+    return both.mapInArrow(run, "id long, vec_id long, score double")
+
+
+def _packed(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Blocks (dim, part, ids, data) of about ``size`` vectors of one length; parts are numbered from 0."""
+    parts = max(1, -(-vectors.count() // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_tree = ranges.value
+        part, held = TaskContext.get().partitionId(), {}
         for b in batches:
-            tree, h = b.column("tree").to_numpy(), b.column("hash").to_numpy()
-            lo = h // step * step
-            for t in np.unique(tree):
-                if t not in by_tree:
-                    continue
-                first, last, number = by_tree[t]
-                rows = np.flatnonzero(tree == t)
-                # Blocks of a tree are in order: those that touch a range are neighbours.
-                begin = np.searchsorted(last, lo[rows], "left")
-                times = np.maximum(0, np.searchsorted(first, lo[rows] + step, "left") - begin)
-                who = np.repeat(rows, times)
-                which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
-                for at in range(0, len(who), 5000):
-                    w = who[at : at + 5000]
-                    cols = [pa.array(number[which[at : at + 5000]]), b.column("id").take(pa.array(w)), pa.array(lo[w]), pa.array(lo[w] + step), b.column("vec").take(pa.array(w))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["block", "id", "from", "to", "vec"])
-
-    return queries.mapInArrow(run, "block long, id long, from long, to long, vec binary")
-
-
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest, ties by smaller id."""
-    if len(s) > k:
-        least = np.partition(s, len(s) - k)[len(s) - k]
-        at = np.flatnonzero(s >= least)
-    else:
-        at = np.arange(len(s))
-    return at[np.lexsort((ids[at], -s[at]))][:k]
-
-
-def _scored(met: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows of each block it meets, inside its range of the block."""
+            ids = b.column("id").to_numpy()
+            for rows, x in _by_length(b.column("v")):
+                held.setdefault(x.shape[1], []).append((ids[rows], x))
+        for d, own in held.items():
+            row = (d, part, np.concatenate([i for i, _ in own]).tobytes(), np.concatenate([x for _, x in own]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in row], names=["dim", "part", "ids", "data"])
+
+    dealt = vectors.repartition(parts)
+    return settle(dealt.mapInArrow(run, "dim long, part long, ids binary, data binary"), "blocks"), parts
+
+
+def _all_rows(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Each query's k best rows of each block of rows (and what may tie with the last)."""
+    blocks, n = _packed(rows, ROW_BLOCK)
+    queries, m = _packed(asked, QUERY_BLOCK)
+    spread = blocks.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("dim", "part", "asked", "ids", "data")
+    whole = queries.select("dim", F.col("part").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.col("ids").alias("own"), F.col("data").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                h = np.frombuffer(row.column("hashes")[0].as_buffer(), np.int64)
-                ids = np.frombuffer(row.column("ids")[0].as_buffer(), np.int64)
-                x = np.frombuffer(row.column("data")[0].as_buffer(), np.float64).reshape(len(ids), -1)
-                qs = row.column("queries").flatten()
-                q = np.frombuffer(b"".join(qs.field("vec").to_pylist()), np.float64).reshape(len(qs), -1)
-                own = qs.field("id").to_numpy()
-                lo, hi = np.searchsorted(h, qs.field("from").to_numpy()), np.searchsorted(h, qs.field("to").to_numpy())
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for i in range(len(qs)):
-                    if hi[i] > lo[i]:
-                        s, c = x[lo[i] : hi[i]] @ q[i], ids[lo[i] : hi[i]]
-                        if len(at := np.flatnonzero(c == own[i])):
-                            s, c = np.delete(s, at), np.delete(c, at)
-                        best = _best(s, c, k)
-                        for col, v in zip(cols, (np.full(len(best), own[i]), c[best], s[best])):
-                            col.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["id", "vec_id", "score"])
-
-    return met.mapInArrow(run, "id long, vec_id long, score double")
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, own = (np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in ("ids", "own"))
+                x, q = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, b.column("dim")[r].as_py()) for c in ("data", "q"))
+                close = CLOSE * np.linalg.norm(x, axis=1).max()
+                for at in range(0, len(q), 256):
+                    part, who = q[at : at + 256], own[at : at + 256]
+                    s = part @ x.T
+                    s[who[:, None] == ids[None, :]] = -np.inf
+                    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(part), -np.inf)
+                    i, j = np.nonzero((s >= (least - close * np.linalg.norm(part, axis=1))[:, None]) & (s > -np.inf))
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array(ids[j]), pa.array(scores(x[j], part[i]))], names=["id", "vec_id", "score"])
+
+    return spread.join(whole, ["dim", "part", "asked"]).mapInArrow(run, "id long, vec_id long, score double")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` found for each row of
     ``queries``; both hold ``vec_id`` and ``embedding``."""
-    spark = vectors.sparkSession
     v = F.col(embedding).cast("array<double>")
-    rows, asked = (d.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))) for d in (vectors, queries))
+    usual = (d.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))) for d in (vectors, queries))
+    rows, asked = (d.groupBy("id").agg(F.min("v").alias("v")) for d in usual)
+    same = Window.partitionBy(F.xxhash64("v"), F.hash("v")).orderBy("id")
+    rows = settle(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("id", "v"), "vectors")
+    asked = settle(asked, "asked")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     top = rows.agg(F.max(norm).alias("m")).first()["m"] or 1.0
-    blocks = settle(_blocks(_hashed(rows, top)), "forest")
-    active = settle(_hashed(asked.dropDuplicates(["id"]), None), "queries")
-    # One row a block: 32 bytes for BLOCK rows of a tree. Far below a vector each.
-    ranges: dict[int, tuple] = {}
-    for r in blocks.select("tree", "first", "last", "block").orderBy("tree", "first", "last", "block").toLocalIterator():
-        ranges.setdefault(r["tree"], ([], [], []))
-        for held, x in zip(ranges[r["tree"]], (r["first"], r["last"], r["block"])):
-            held.append(x)
-    shared = spark.sparkContext.broadcast({t: tuple(np.array(x, np.int64) for x in held) for t, held in ranges.items()})
-    best = None
-    for level in LEVELS:
-        n = active.count() // TREES
-        if not n:
-            break
-        tour = _visits(active if level else active.where(F.col("tree") % TREES == 0), shared, level)
-        parts = -(-n // TOGETHER)
-        packed = tour.groupBy("block", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "from", "to", "vec")).alias("queries"))
-        met = packed.join(blocks.select("block", "hashes", "ids", "data"), "block").select("hashes", "ids", "data", "queries")
-        found = _scored(met, k)
-        every = found if best is None else found.unionByName(best)
-        once = every.groupBy("id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
-        best = settle(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "vec_id", "score"), "best")
-        if level == 0:
-            break
-        # The k-th best and what all trees together miss at its angle.
-        kth = best.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-        q = asked.dropDuplicates(["id"]).select("id", norm.alias("norm"))
-        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (F.col("norm") * top)))
-        missed = F.pow(1 - F.pow(1 - F.acos(cosine) / np.pi, F.lit(level)), F.lit(TREES))
-        done = kth.join(q, "id").where(missed <= 1 - RECALL).select("id")
-        active = settle(active.join(done, "id", "left_anti"), "queries")
-    if best is None:
-        best = spark.createDataFrame([], "id long, vec_id long, score double")
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
-    return best.select(F.col("id").alias("query_id"), F.row_number().over(order).alias("rank"), "vec_id", "score")
+    met = settle(_met(_hashed(rows, top, False).unionByName(_hashed(asked, top, True))), "met")
+    best = settle(_first(_rescored(met, rows, asked), k), "best")
+    # What all trees together miss at the angle of the k-th best.
+    kth = best.where(F.col("rank") == k).select("id", "score").join(asked.select("id", norm.alias("norm")), "id")
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / (F.col("norm") * top)))
+    seen = met.groupBy("id", "tree").agg(F.max("seen").alias("seen")).join(kth, "id")
+    # A bit agrees with probability 1 - angle / pi; the smallest number stands for a certain hit.
+    missed = F.sum(F.log(F.greatest(F.lit(1e-300), 1 - F.pow(1 - F.acos(cosine) / np.pi, F.col("seen")))))
+    done = seen.groupBy("id").agg(missed.alias("missed")).where(F.col("missed") <= F.lit(float(np.log(1 - RECALL)))).select("id")
+    left = settle(asked.join(done, "id", "left_anti"), "left")
+    if left.limit(1).count():
+        best = _first(best.join(left.select("id"), "id", "left_anti").select("id", "vec_id", "score").unionByName(_all_rows(rows, left, k)), k)
+    return best.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,6 +261,28 @@ def test_nearest_recall(spark):
     assert [(r.rank, r.vec_id) for r in few] == [(1, 1), (2, 2)]
 
 
+def test_nearest_of_clusters_and_equal_vectors(spark):
+    """Clusters are found in the trees alone; equal vectors score equal and rank by id."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = np.repeat(centres, 30, axis=0) + 0.02 * rng.normal(size=(1200, 24))
+    x[600:700] = x[600]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, df.where("vec_id % 20 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = []
+    for q in range(0, 1200, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(1200), -s))[:10].tolist()
+        hits.append(len({*want} & {i for i, _ in got[q]}) / 10)
+        assert all(v == s[i] for i, v in got[q])
+        if 600 <= q < 700:
+            assert [i for i, _ in got[q]] == [i for i in range(600, 611) if i != q][:10]
+    assert np.mean(hits) >= 0.9
+
+
 def base_spans(t):
     """The contract's base kinds by Python's own patterns."""
     def luhn(d):
