@@ -1,21 +1,25 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found exactly.
 
-Terms whose documents are labelled toxic far more often than chance allows (likelihood ratio over
-all learning rows) and at clearly higher odds than other documents make the vocabulary; document frequencies are counted over all documents. A
-bounded sample of labelled documents that hold such terms is kept as examples in an inverted index
-whose postings are cut into blocks of examples. A block's bound is the sum of its terms' largest
-weights times the query's; blocks are scored from the highest bound down until no bound reaches
-the k-th best score, which makes the neighbours exact. Neighbours vote with weights that fall with
-distance; sampling rates are undone by class weights; and an isotonic fit on the examples, each
-scored without itself, turns votes into probabilities. Documents without any such term have no
-neighbour; they get the learning rows' share of toxic ones among such documents.
-
-The sample is the documented bound: at most about ``EXAMPLES`` documents of each label, picked by
-a hash of the id. All else covers all rows and whole texts.
+A bounded sample of labelled documents is kept as examples in an inverted index over all their terms.
+A term weighs (1 + log of its count) x inverse document frequency x relevance frequency: document
+frequencies are counted over all documents, and the relevance frequency, log2(2 + the odds of the
+label among the term's documents over those of all), over all learning rows; no term is left out.
+Postings are cut into blocks of examples. A block's bound is the sum of its terms' largest weights
+times the query's; blocks are scored from the highest bound down until no bound reaches the k-th
+best score, which makes the neighbours exact. Of the examples with the very words of the document (cosine
+1) the first has no vote, so that no row is scored by its own label alone. Neighbours vote with weights that fall
+with distance; sampling rates are undone by class weights; and an isotonic fit on the examples, each
+scored as any other document, turns votes into probabilities. Documents without a term of the
+index have no neighbour; they get the learning rows' share of toxic ones among texts without words.
+
+The sample is the documented bound: about ``EXAMPLES`` documents of each label, fewer if they hold
+more than ``CHARACTERS`` characters, picked by a hash of the id. All else covers all rows and whole texts.
 
 Defined cases: null and empty texts have no terms; a row without label or text teaches nothing; of
-several labels of one id the highest holds; without toxic examples all get the same low score;
-rows are scored one by one, repeated ones alike. Ties between neighbours go to the smaller id.
+several labels of one id the highest holds; without examples of both labels all get the score 0;
+rows are scored one by one, repeated ones alike. Ties between neighbours go to the smaller id. Very
+long texts are scored whole. An empty table gives an empty one. Of clashing names, ``score``,
+``evidence`` and ``evidence_terms`` are replaced, and all other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -33,14 +37,9 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_KEYS, map_arrow, settle, table
 
-VOCABULARY, EXAMPLES, BLOCK, NEIGHBOURS = 2048, 3000, 64, 15
-#: A term is taken if twice its log-likelihood ratio reaches this (chance: below one in a million).
-EVIDENCE = 24.0
-#: ... and its documents' odds of the label are at least so many times those of all: evidence alone
-#: grows with the table and would let in terms that say less and less.
-ODDS = 2.0
-#: Distinct terms a task counts before it hands them on.
-FLUSH = 200_000
+EXAMPLES, CHARACTERS, BLOCK, NEIGHBOURS = 1000, 16_000_000, 64, 15
+#: Cosines from here on are those of equal texts.
+SAME = 1 - 1e-9
 PREDICT_FROM = 0.7
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -49,113 +48,71 @@ def terms_of(text: str | None) -> list[str]:
     return WORDS(text.lower()) if text else []
 
 
-def _term_counts(labelled: DataFrame) -> DataFrame:
-    """(term, pos, neg): documents of each label that hold the term."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-
-        def out() -> pa.RecordBatch:
-            terms = sorted({*held[0], *held[1]})
-            cols = [pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["term", "pos", "neg"])
-
-        for b in batches:
-            for t, y in zip(b.column("text"), b.column("y").to_pylist()):
-                held[y].update(set(terms_of(t.as_py())))
-                if len(held[0]) + len(held[1]) > FLUSH:
-                    yield out()
-                    held[0].clear(), held[1].clear()
-        yield out()
-
-    parts = labelled.select("text", "y").mapInArrow(run, "term string, pos long, neg long")
-    return parts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def _vocabulary(labelled: DataFrame, pos: int, neg: int) -> list[str]:
-    """The terms with the strongest evidence for the toxic label."""
-    if not pos or not neg:
-        return []
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    share = F.lit(pos / (pos + neg))
-
-    def part(x, expected):
-        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-
-    ratio = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
-    strong = (a + 0.5) * neg >= ODDS * (b + 0.5) * pos
-    found = _term_counts(labelled).filter((a > (a + b) * share) & (ratio >= EVIDENCE) & strong).select("term", ratio.alias("ratio"))
-    return sorted(r["term"] for r in found.orderBy(F.desc("ratio"), "term").limit(VOCABULARY).collect())
-
-
-def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
-    wanted = frozenset(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = Counter(), 0
-        for b in batches:
-            n += b.num_rows
-            for t in b.column("text"):
-                held.update(wanted.intersection(terms_of(t.as_py())))
-        terms = sorted(held)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *terms], pa.string()), pa.array([n, *(held[t] for t in terms)], pa.int64())], names=["term", "n"])
-
-    parts = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in parts}
-    return counts, counts.pop(None, 0)
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and which range each is of."""
+    size = last - first
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + np.repeat(first - (np.cumsum(size) - size), size), which
 
 
 @dataclass
 class Index:
-    """Examples by block, postings by term, and what turns votes into scores."""
+    """Postings of examples by term, cut into blocks of examples, and what turns votes into scores.
+
+    Entry e stands for a term in a block: entries of term t are ``entries[t]`` to ``entries[t + 1]``,
+    in block ``block[e]`` with largest weight ``most[e]`` and postings ``begin[e]`` to ``begin[e + 1]``."""
 
     number: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray  # of terms
     ids: np.ndarray
     labels: np.ndarray
-    postings: tuple[np.ndarray, np.ndarray, np.ndarray]  # examples and weights by term; begin of each block (terms, blocks + 1)
-    block_max: np.ndarray  # (terms, blocks)
-    weight: np.ndarray  # by label: undoes the sampling
+    entries: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    begin: np.ndarray
+    who: np.ndarray  # example and weight of each posting
+    weight: np.ndarray
+    rates: np.ndarray  # by label: undoes the sampling
     steps: tuple[np.ndarray, np.ndarray]  # votes and their calibrated scores
     without: float  # score of documents without terms
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        get = self.number.get
-        counts = Counter(n for n in map(get, terms_of(text)) if n is not None)
-        t = np.array(sorted(counts), np.int64)
-        v = np.array([1 + np.log(counts[i]) for i in t]) * self.idf[t] if len(t) else np.zeros(0)
-        return t, v / np.linalg.norm(v) if len(t) else v
-
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, exactly, ties by smaller id."""
-        bound = v @ self.block_max[t]
+        return _vector(Counter(terms_of(text)), self.number, self.weights)
+
+    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest, exactly, ties by smaller id; of equal texts the first is left out."""
+        k += 1
+        entry, which = _ranges(self.entries[t], self.entries[t + 1])
+        held, share = self.block[entry], v[which]
+        bound = np.bincount(held, share * self.most[entry])
         order = np.argsort(-bound, kind="stable")
-        bound, who, w, begin = bound[order], *self.postings
+        bound = bound[order]
         found_i, found_s, least, done, step = [], [], 0.0, 0, 4
         # Each round scores more blocks than the last, as far as their bounds reach the k-th best.
         while done < len(order) and bound[done] > 0 and bound[done] >= least - 1e-9:
-            blocks = order[done : done + step]
-            blocks = blocks[(bound[done : done + step] > 0) & (bound[done : done + step] >= least - 1e-9)]
-            first, last = begin[t][:, blocks], begin[t][:, blocks + 1]
-            size = (last - first).ravel()
-            at = np.repeat(first.ravel() - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            total = np.bincount(who[at], np.repeat(np.repeat(v, len(blocks)), size) * w[at])
+            last = min(done + step, int(np.searchsorted(-bound, -max(least - 1e-9, 1e-300), "right")))
+            chosen = np.zeros(len(order), bool)
+            chosen[order[done:last]] = True
+            on = np.flatnonzero(chosen[held])
+            at, of = _ranges(self.begin[entry[on]], self.begin[entry[on] + 1])
+            total = np.bincount(self.who[at], share[on][of] * self.weight[at])
             hit = np.flatnonzero(total > 0)
-            hit = hit[hit != skip]
             found_i.append(hit)
             found_s.append(total[hit])
             if sum(map(len, found_s)) >= k:
                 every = np.concatenate(found_s)
                 least = np.partition(every, len(every) - k)[len(every) - k]
-            done, step = done + step, step * 4
+            done, step = last, step * 4
         if not found_i:
             return np.zeros(0, np.int64), np.zeros(0)
         i, s = np.concatenate(found_i), np.concatenate(found_s)
         order = np.lexsort((self.ids[i], -np.round(s, 12)))[:k]
-        return i[order], s[order]
+        i, s = i[order], s[order]
+        own = 1 if len(s) and s[0] >= SAME else 0
+        return i[own : own + k - 1], s[own : own + k - 1]
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
-        w = self.weight[self.labels[i]] / (0.1 + 1 - np.minimum(s, 1.0))
+        w = self.rates[self.labels[i]] / (0.1 + 1 - np.minimum(s, 1.0))
         return float((w * self.labels[i]).sum() / w.sum())
 
     def score(self, i: np.ndarray, s: np.ndarray) -> float:
@@ -164,6 +121,15 @@ class Index:
         return float(np.interp(self.vote(i, s), *self.steps))
 
 
+def _vector(counts: Counter, number: dict[str, int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known = sorted((n, c) for t, c in counts.items() if (n := number.get(t)) is not None)
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0)
+    t, c = np.array(known).T
+    v = (1 + np.log(c)) * weights[t]
+    return t, v / np.linalg.norm(v)
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted isotonic fit of y on x by pooling neighbours that are out of order."""
     pools: list[list[float]] = []
@@ -177,73 +143,90 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
 
+def _counted(docs: DataFrame, known: DataFrame, number: dict[str, int]) -> np.ndarray:
+    """Documents that hold each term: all, those labelled 1, those labelled 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        counts = np.zeros((3, len(wanted)), np.int64)
+        for b in batches:
+            for text, y in zip(b.column("text"), b.column("y").to_pylist()):
+                at = np.array([n for t in set(terms_of(text.as_py())) if (n := wanted.get(t)) is not None], np.int64)
+                counts[0, at] += 1
+                if y is not None:
+                    counts[2 - y, at] += 1
+        some = np.flatnonzero(counts[0])
+        for i in range(0, len(some), 20_000):
+            part = some[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(c[part]) for c in counts]], names=["term", "n", "pos", "neg"])
+
+    parts = docs.join(known, docs["doc_id"] == known["__id"], "left").select("text", "y").mapInArrow(run, "term long, n long, pos long, neg long")
+    out = np.zeros((3, len(number)), np.int64)
+    for r in parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")]).collect():
+        out[:, r["term"]] = r["n"], r["pos"], r["neg"]
+    return out
+
+
+def _index(examples: list, number: dict[str, int], weights: np.ndarray) -> Index:
+    """Index of rows (doc_id, y, terms, counts)."""
+    vectors = [_vector(dict(zip(r["terms"], r["counts"])), number, weights) for r in examples]
+    # Neighbours in the index share their strongest term, which keeps block bounds tight.
+    order = sorted(range(len(examples)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))], len(vectors[i][0]), examples[i]["doc_id"]))
+    who = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+    term, weight = (np.concatenate([vectors[i][j] for i in order]) for j in (0, 1))
+    by_term = np.argsort(term, kind="stable")
+    who, term, weight = who[by_term], term[by_term], weight[by_term]
+    begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK)))
+    ids, labels = (np.array([examples[i][c] for i in order]) for c in ("doc_id", "y"))
+    entries = np.searchsorted(term[begin], np.arange(len(number) + 1))
+    return Index(number, weights, ids, labels, entries, who[begin] // BLOCK, np.maximum.reduceat(weight, begin), np.append(begin, len(who)), who, weight, np.ones(2), (np.zeros(1), np.zeros(1)), 0.0)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
     """Fit on ``docs`` (doc_id, text: all of them) and ``labels`` (doc_id, toxic 0 or 1: only
     those to learn from). Ids are whole numbers."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     known = settle(known.where("y in (0, 1)"), "toxic-labels")
-    small = known.count() <= BROADCAST_KEYS
-    labelled = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known) if small else known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
-    sizes = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    vocabulary = _vocabulary(labelled, sizes.get(1, 0), sizes.get(0, 0))
-    if not vocabulary:
+    known = F.broadcast(known) if known.count() <= BROADCAST_KEYS else known
+    labelled = docs.select("doc_id", "text").where("text is not null").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    some = F.rlike("text", F.lit(r"\p{L}"))
+    sums = labelled.groupBy("y").agg(F.count("*").alias("n"), F.count_if(some).alias("some"), F.sum(F.when(some, F.length("text"))).alias("size"))
+    sizes = {r["y"]: r for r in sums.collect()}
+    if any(y not in sizes or not sizes[y]["some"] for y in (0, 1)):
         return None
-    df, n = _document_frequencies(docs, vocabulary)
-    index = Index({t: i for i, t in enumerate(vocabulary)}, np.log((1 + n) / (1 + np.array([df.get(t, 0) for t in vocabulary]))) + 0.1, *[None] * 7)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    rates = np.array([min(1.0, EXAMPLES / sizes[y]["some"], CHARACTERS / sizes[y]["size"]) for y in (0, 1)])
+    bound = F.when(F.col("y") == 1, int(rates[1] * (1 << 20)) + 1).otherwise(int(rates[0] * (1 << 20)) + 1)
+    sample = settle(labelled.where(some & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound)), "toxic-examples")
 
     def make():
-        m = shared.value
-
         def work(b):
-            vs = [m.vector(t.as_py()) for t in b.column("text")]
-            return [[v[0].tolist() for v in vs], [v[1].tolist() for v in vs]]
+            counts = [Counter(terms_of(t.as_py())) for t in b.column("text")]
+            return [[list(c) for c in counts], [list(c.values()) for c in counts]]
 
         return work
 
-    new = [("terms", T.ArrayType(T.LongType())), ("weights", T.ArrayType(T.DoubleType()))]
-    vectors = settle(map_arrow(labelled, make, new, ["doc_id", "y"]).withColumn("some", F.size("terms") > 0), "toxic-vectors")
-    counts = {(r["y"], r["some"]): r["count"] for r in vectors.groupBy("y", "some").count().collect()}
-    rows, rate = [], np.ones(2)
-    for y in (0, 1):
-        if size := counts.get((y, True), 0):
-            rate[y] = min(1.0, EXAMPLES / size)
-            chosen = vectors.where(f"some and y = {y}").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate[y] * (1 << 20)) + (rate[y] >= 1))
-            rows += chosen.select("doc_id", "y", "terms", "weights").limit(2 * EXAMPLES).collect()
-    if not rows:
+    new = [("terms", T.ArrayType(T.StringType())), ("counts", T.ArrayType(T.LongType()))]
+    rows = [r for r in map_arrow(sample, make, new, ["doc_id", "y"]).collect() if r["terms"]]
+    if len({r["y"] for r in rows}) < 2:
         return None
-    # Neighbours in the index share their strongest term, which keeps block bounds tight.
-    rows.sort(key=lambda r: (r["terms"][int(np.argmax(r["weights"]))], len(r["terms"]), r["doc_id"]))
-    blocks = -(-len(rows) // BLOCK)
-    lists: list[list] = [[] for _ in vocabulary]
-    for i, r in enumerate(rows):
-        for t, w in zip(r["terms"], r["weights"]):
-            lists[t].append((i, w))
-    index.ids, index.labels = np.array([r["doc_id"] for r in rows]), np.array([r["y"] for r in rows])
-    index.block_max = np.zeros((len(vocabulary), blocks))
-    begin = np.zeros((len(vocabulary), blocks + 1), np.int64)
-    for t, own in enumerate(lists):
-        who, w = np.array([p[0] for p in own], np.int64), np.array([p[1] for p in own])
-        np.maximum.at(index.block_max[t], who // BLOCK, w)
-        begin[t] = sum(map(len, lists[:t])) + np.searchsorted(who, np.arange(blocks + 1) * BLOCK)
-    flat = [p for own in lists for p in own]
-    index.postings = (np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), begin)
-    index.weight = 1 / rate
-    none = (counts.get((1, False), 0), counts.get((0, False), 0))
-    index.without = (none[0] + 0.5) / (sum(none) + 10)
-    votes = []
-    for i, r in enumerate(rows):
-        near = index.nearest(np.array(r["terms"]), np.array(r["weights"]), skip=i)
-        if len(near[0]):
-            votes.append((index.vote(*near), r["y"], index.weight[r["y"]]))
-    x, y, w = np.array(votes).T if votes else (np.zeros(0),) * 3
-    index.steps = _isotonic(x, y, w) if len(x) else (np.array([0.0]), np.array([index.without]))
+    number = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
+    n, pos, neg = _counted(docs.select("doc_id", "text"), known, number)
+    odds = (pos / sizes[1]["n"]) / (np.maximum(neg, 1) / sizes[0]["n"])
+    index = _index(rows, number, np.log((1 + docs.count()) / (1 + n)) * np.log2(2 + odds) + 0.1)
+    index.rates = 1 / rates
+    none = [sizes[y]["n"] - sizes[y]["some"] for y in (0, 1)]
+    index.without = (none[1] + 0.5) / (sum(none) + 10)
+    votes = score(sample, index, keep=["y"], votes=True).where("vote is not null").select("vote", "y").collect()
+    x, y = (np.array([r[c] for r in votes], float) for c in ("vote", "y"))
+    index.steps = _isotonic(x, y, index.rates[y.astype(int)]) if len(x) else (np.zeros(1), np.array([index.without]))
     return index
 
 
-def score(docs: DataFrame, index: Index | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, index: Index | None, text: str = "text", keep: list[str] | None = None, votes: bool = False) -> DataFrame:
     """``docs`` (its columns in ``keep``) with ``score``, ``evidence`` (the nearest examples: id,
-    label, cosine) and ``evidence_terms``."""
+    label, cosine) and ``evidence_terms`` (its terms of the largest weights in the index); with
+    ``votes``, with the uncalibrated ``vote`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
@@ -255,13 +238,18 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", keep: list[s
             for t in b.column(text):
                 vec = m.vector(t.as_py()) if m else (np.zeros(0, np.int64),) * 2
                 i, s = m.nearest(*vec) if len(vec[0]) else (vec[0], vec[1])
+                if votes:
+                    out.append(m.vote(i, s) if len(i) else None)
+                    continue
                 out.append(m.score(i, s) if m else 0.0)
                 near.append([{"doc_id": int(m.ids[j]), "toxic": int(m.labels[j]), "cosine": float(c)} for j, c in zip(i[:3], s[:3])])
-                terms.append([names[j] for j in vec[0]])
-            return [out, near, terms]
+                terms.append([names[j] for j in vec[0][np.argsort(-vec[1], kind="stable")[:3]]])
+            return [out] if votes else [out, near, terms]
 
         return work
 
+    if votes:
+        return map_arrow(docs, make, [("vote", T.DoubleType())], keep or docs.columns)
     evidence = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     new = [("score", T.DoubleType()), ("evidence", T.ArrayType(evidence)), ("evidence_terms", T.ArrayType(T.StringType()))]
     return map_arrow(docs, make, new, docs.columns if keep is None else keep)

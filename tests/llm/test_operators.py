@@ -236,10 +236,30 @@ def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(60)] + [(1, None)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score(d, toxicity.learn(d, labels)).collect()}
     assert all((out[100 + i].score >= 0.7) == (i % 4 == 0) for i in range(120)) and out[3].score < 0.5
-    assert out[100].evidence[0].toxic == 1 and out[100].evidence_terms == ["nasty", "vile"]
+    assert out[100].evidence[0].toxic == 1 and out[100].evidence_terms[:2] == ["nasty", "vile"]
     assert toxicity.learn(none, labels) is None and toxicity.score(docs, None).where("score > 0").count() == 0
 
 
+def test_toxic_neighbours_are_those_of_a_full_scan():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10]}" for x in np.minimum(99, rng.zipf(1.3, rng.integers(1, 60)))) for _ in range(700)] + ["ak bk", "ak bk"]
+    examples = [{"doc_id": i, "y": i % 2, "terms": list(c), "counts": list(c.values())} for i, t in enumerate(texts) if (c := Counter(toxicity.terms_of(t)))]
+    number = {t: i for i, t in enumerate(sorted({t for e in examples for t in e["terms"]}))}
+    index = toxicity._index(examples, number, rng.uniform(0.1, 9, len(number)))
+    dense = np.zeros((len(examples), len(number)))
+    for e, i in enumerate(index.ids):
+        t, v = index.vector(texts[i])
+        dense[e, t] = v
+    for text in [*texts[:80], texts[-1], "ak zz qq"]:
+        t, v = index.vector(text)
+        s = np.round(dense[:, t] @ v, 12)
+        want = np.lexsort((index.ids, -s))[:16]
+        want = [e for e in want[1 if s[want[0]] >= toxicity.SAME else 0 :][:15] if s[e] > 0]
+        i, c = index.nearest(t, v)
+        assert i.tolist() == want and np.allclose(c, s[want])
+    assert len(index.nearest(np.zeros(0, np.int64), np.zeros(0))[0]) == 0
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
