@@ -38,6 +38,8 @@ from .common import settle, table
 
 TREES, BITS, REACH, RECALL = 16, 48, 16, 0.99
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Queries are broadcast if all together hold so many numbers at most (32 MB), and shuffled otherwise.
+BROADCAST_NUMBERS = 4_000_000
 #: Rows of a sorted order that are looked at together.
 CHUNK = 8192
 #: Scores of matrix products closer than this share of the largest possible one may tie.
@@ -152,8 +154,10 @@ def _rescored(met: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
                 cols = [b.column(c).take(pa.array(at)) for c in ("id", "vec_id")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(scores(x, y))], names=["id", "vec_id", "score"])
 
-    pairs = met.select("id", "vec_id").distinct()
-    both = pairs.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select("id", F.col("v").alias("q")), "id")
+    pairs, asked = met.select("id", "vec_id").distinct(), asked.select("id", F.col("v").alias("q"))
+    if asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_NUMBERS:
+        asked = F.broadcast(asked)
+    both = pairs.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked, "id")
     return both.mapInArrow(run, "id long, vec_id long, score double")
 
 
