@@ -4,9 +4,10 @@ A bounded sample of labelled documents is kept as examples in an inverted index
 A term weighs (1 + log of its count) x inverse document frequency x relevance frequency: document
 frequencies are counted over all documents, and the relevance frequency, log2(2 + the odds of the
 label among the term's documents over those of all), over all learning rows; no term is left out.
-Postings are cut into blocks of examples. A block's bound is the sum of its terms' largest weights
-times the query's; blocks are scored from the highest bound down until no bound reaches the k-th
-best score, which makes the neighbours exact. Of the examples with the very words of the document (cosine
+Postings are cut into blocks of examples. The few terms that very many examples hold are kept as
+full rows and counted for a batch of documents at once. A block's bound is its best score by those
+terms, plus the sum of the other terms' largest weights in it times the query's; blocks are scored
+from the highest bound down until no bound reaches the k-th best score, which makes the neighbours exact. Of the examples with the very words of the document (cosine
 1) the first has no vote, so that no row is scored by its own label alone. Neighbours vote with weights that fall
 with distance; sampling rates are undone by class weights; and an isotonic fit on the examples, each
 scored as any other document, turns votes into probabilities. Documents without a term of the
@@ -38,6 +39,11 @@ from pyspark.sql import types as T
 from .common import BROADCAST_KEYS, map_arrow, settle, table
 
 EXAMPLES, CHARACTERS, BLOCK, NEIGHBOURS = 1000, 16_000_000, 64, 15
+#: A term that so large a share of the examples holds is kept as a full row, the commonest first, up to
+#: so many numbers in all rows (32 MB).
+COMMON, ROWS = 1 / 16, 4_000_000
+#: Documents whose common terms are counted at once.
+TOGETHER = 128
 #: Cosines from here on are those of equal texts.
 SAME = 1 - 1e-9
 PREDICT_FROM = 0.7
@@ -64,6 +70,8 @@ class Index:
 
     number: dict[str, int]
     weights: np.ndarray  # of terms
+    common: np.ndarray  # of each term its full row, or -1
+    full: np.ndarray  # (common terms, examples)
     ids: np.ndarray
     labels: np.ndarray
     entries: np.ndarray
@@ -77,17 +85,34 @@ class Index:
     without: float  # score of documents without terms
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return _vector(Counter(terms_of(text)), self.number, self.weights)
-
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, exactly, ties by smaller id; of equal texts the first is left out."""
+        """Terms of a text and their weights, of length 1."""
+        get = self.number.get
+        t, c = np.unique(np.array([n for w in terms_of(text) if (n := get(w)) is not None], np.int64), return_counts=True)
+        v = (1 + np.log(c)) * self.weights[t]
+        return t, v / np.linalg.norm(v) if len(t) else v
+
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms give to the scores of all examples, for some vectors."""
+        own = np.zeros((len(vectors), len(self.full)))
+        for row, (t, v) in zip(own, vectors):
+            at = self.common[t]
+            row[at[at >= 0]] = v[at >= 0]
+        return own @ self.full
+
+    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest, exactly, ties by smaller id; of equal texts the first is
+        left out. ``base`` is the vector's row of :meth:`shares`."""
         k += 1
+        base = self.shares([(t, v)])[0] if base is None else base
+        rest = self.common[t] < 0
+        t, v = t[rest], v[rest]
         entry, which = _ranges(self.entries[t], self.entries[t + 1])
-        held, share = self.block[entry], v[which]
-        bound = np.bincount(held, share * self.most[entry])
+        held, share, n = self.block[entry], v[which], len(self.ids)
+        bound = np.maximum.reduceat(base, np.arange(0, n, BLOCK))
+        bound = bound + np.bincount(held, share * self.most[entry], len(bound))
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
-        found_i, found_s, least, done, step = [], [], 0.0, 0, 4
+        found_i, found_s, least, done, step = [], [], 0.0, 0, 8
         # Each round scores more blocks than the last, as far as their bounds reach the k-th best.
         while done < len(order) and bound[done] > 0 and bound[done] >= least - 1e-9:
             last = min(done + step, int(np.searchsorted(-bound, -max(least - 1e-9, 1e-300), "right")))
@@ -95,8 +120,8 @@ class Index:
             chosen[order[done:last]] = True
             on = np.flatnonzero(chosen[held])
             at, of = _ranges(self.begin[entry[on]], self.begin[entry[on] + 1])
-            total = np.bincount(self.who[at], share[on][of] * self.weight[at])
-            hit = np.flatnonzero(total > 0)
+            total = base + np.bincount(self.who[at], share[on][of] * self.weight[at], n)
+            hit = np.flatnonzero(np.repeat(chosen, BLOCK)[:n] & (total > 0))
             found_i.append(hit)
             found_s.append(total[hit])
             if sum(map(len, found_s)) >= k:
@@ -177,10 +202,19 @@ def _index(examples: list, number: dict[str, int], weights: np.ndarray) -> Index
     term, weight = (np.concatenate([vectors[i][j] for i in order]) for j in (0, 1))
     by_term = np.argsort(term, kind="stable")
     who, term, weight = who[by_term], term[by_term], weight[by_term]
-    begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK)))
     ids, labels = (np.array([examples[i][c] for i in order]) for c in ("doc_id", "y"))
+    held = np.bincount(term, minlength=len(number))
+    often = np.argsort(-held, kind="stable")[: ROWS // len(order)]
+    often = often[held[often] > COMMON * len(order)]
+    common, full = np.full(len(number), -1), np.zeros((len(often), len(order)))
+    common[often] = np.arange(len(often))
+    inside = common[term] >= 0
+    full[common[term[inside]], who[inside]] = weight[inside]
+    who, term, weight = who[~inside], term[~inside], weight[~inside]
+    begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK))[: len(term)])
     entries = np.searchsorted(term[begin], np.arange(len(number) + 1))
-    return Index(number, weights, ids, labels, entries, who[begin] // BLOCK, np.maximum.reduceat(weight, begin), np.append(begin, len(who)), who, weight, np.ones(2), (np.zeros(1), np.zeros(1)), 0.0)
+    most = np.maximum.reduceat(weight, begin) if len(begin) else weight
+    return Index(number, weights, common, full, ids, labels, entries, who[begin] // BLOCK, most, np.append(begin, len(who)), who, weight, np.ones(2), (np.zeros(1), np.zeros(1)), 0.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
@@ -233,11 +267,15 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", keep: list[s
         m = shared.value
         names = list(m.number) if m else []
 
+        def vectors(texts):
+            for at in range(0, len(texts), TOGETHER):
+                part = [m.vector(t.as_py()) if m else (np.zeros(0, np.int64),) * 2 for t in texts.slice(at, TOGETHER)]
+                yield from zip(part, m.shares(part) if m else part)
+
         def work(b):
             out, near, terms = [], [], []
-            for t in b.column(text):
-                vec = m.vector(t.as_py()) if m else (np.zeros(0, np.int64),) * 2
-                i, s = m.nearest(*vec) if len(vec[0]) else (vec[0], vec[1])
+            for vec, base in vectors(b.column(text)):
+                i, s = m.nearest(*vec, base=base) if len(vec[0]) else vec
                 if votes:
                     out.append(m.vote(i, s) if len(i) else None)
                     continue
