@@ -12,13 +12,16 @@ Spans whose format and check hold are base spans and always stay; the classifier
 to which it gives a probability of ``ADD_FROM`` or more and that overlap no base span.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one, so repeated rows
-get equal results; with no candidate anywhere the model adds nothing. Positions are code points,
-end exclusive.
+get equal results; with no candidate anywhere the model adds nothing; spans that start together are
+ordered by kind; very long texts are read whole, and running sums over their spans are taken in steps,
+so that work grows little faster than their number; an empty table gives an empty one. Positions are
+code points, end exclusive. Of clashing names, ``pii_spans`` is replaced; all other columns stay.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +63,42 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}0*(?:25[0-5]|2[0-4][
 VOTES = ("format", "check", "prefix", "cue", "edges")
 #: Rounds of expectation-maximisation and of the classifier's gradient ascent.
 EM_ROUNDS, FIT_ROUNDS = 40, 200
+#: Values of an array that are summed or joined one by one; longer arrays are cut into such steps.
+STEP = 256
 #: A candidate is added from this probability on.
 ADD_FROM = 0.9
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _steps(n: Column) -> Column:
+    """Numbers of the steps of an array of ``n`` > 0 values."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))
+
+
+def _running(values: Column, zero: int, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of numbers, each with its own value; at least one value."""
+    empty = F.struct(F.lit(zero).alias("all"), F.array().cast("array<int>").alias("each"))
+
+    def within(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(add(acc["all"], x).alias("all"), F.concat(acc["each"], F.array(add(acc["all"], x))).alias("each"))
+
+        return F.aggregate(part, empty, step)
+
+    def joined(parts: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(add(acc["all"], x["all"]).alias("all"), F.concat(acc["each"], F.array(acc["all"])).alias("each"))
+
+        before = F.aggregate(parts, empty, step)["each"]
+        return F.flatten(F.zip_with(parts, before, lambda x, b: F.transform(x["each"], lambda y: add(b, y))))
+
+    return _let(values, lambda v: _let(F.transform(_steps(F.size(v)), lambda c: within(F.slice(v, c * STEP + 1, STEP))), joined))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"[^0-9]", "")
 
@@ -119,36 +154,24 @@ def _found(text: Column, kind: str) -> Column:
     row = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("p"))
 
     def spans(r: Column) -> Column:
-        sizes = F.transform(F.arrays_zip(r["p"], r["m"]), lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m")))
-        ends = F.aggregate(
-            sizes,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["p"])).alias("starts")),
-        )["starts"]
-        cut = F.transform(
-            F.sequence(F.lit(0), F.size(r["m"]) - 1),
-            lambda i: F.struct(
-                r["m"][i].alias("m"),
-                ends[i].alias("start"),
-                F.right(r["p"][i], F.lit(REACH)).alias("before"),
-                F.left(r["p"][i + 1], F.lit(1)).alias("after"),
-            ),
-        )
-        return F.transform(
-            cut,
-            lambda c: F.struct(
+        sizes = F.zip_with(F.slice(r["p"], F.lit(1), F.size(r["m"])), r["m"], lambda p, m: F.length(p) + F.length(m))
+        return _let(_running(sizes, 0, lambda x, y: x + y), lambda ends: F.transform(F.sequence(F.lit(0), F.size(r["m"]) - 1), lambda i: made(r, ends[i], i)))
+
+    def made(r: Column, end: Column, i: Column) -> Column:
+        def judged(c: Column) -> Column:
+            return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
-                c["start"].alias("start"),
-                (c["start"] + F.length(c["m"])).alias("end"),
+                (c["end"] - F.length(c["m"])).alias("start"),
+                c["end"].alias("end"),
                 _format(kind, c["m"]).alias("base"),
                 F.array(*_votes(kind, c["m"], c["before"], c["after"])).alias("votes"),
                 F.least(F.floor(F.length(c["m"]) / 8), F.lit(6)).cast("int").alias("size"),
-            ),
-        )
+            )
 
-    # A one-element array lets the two lists be made once and used by the inner functions.
-    made = F.flatten(F.transform(F.array(row), spans))
-    return F.when(GATES[kind](text) & (F.size(F.regexp_extract_all(text, pattern, F.lit(0))) > 0), made)
+        around = F.struct(r["m"][i].alias("m"), end.alias("end"), F.right(r["p"][i], F.lit(REACH)).alias("before"), F.left(r["p"][i + 1], F.lit(1)).alias("after"))
+        return _let(around, judged)
+
+    return F.when(GATES[kind](text), _let(row, lambda r: F.when(F.size(r["m"]) > 0, spans(r))))
 
 
 def candidates(text: Column) -> Column:
@@ -163,6 +186,7 @@ def candidates(text: Column) -> Column:
     return F.concat(*lists)
 
 
+_ONE = "struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,size:int>"
 _TYPE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,size:int>>"
 
 
@@ -239,24 +263,36 @@ def _likelihood(w: dict[tuple, float], c: Column) -> Column:
     return odds
 
 
-def _clear(c: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
+def _clear(found: Column, others: Column) -> Column:
+    """Those of ``found`` that overlap none of ``others``: by ends, each meets the latest end of the others
+    that start before its own end."""
+    of_others = F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("other"), o["end"].alias("end"), F.lit(None).cast(_ONE).alias("c")))
+    own = F.transform(found, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("other"), F.lit(-1).alias("end"), c.alias("c")))
+
+    def free(events: Column) -> Column:
+        tops = _running(F.transform(events, lambda e: e["end"]), -1, F.greatest)
+        return F.filter(F.zip_with(events, tops, lambda e, top: F.when(top <= e["c"]["start"], e["c"])), lambda c: c.isNotNull())
+
+    return F.when((F.size(found) == 0) | (F.size(others) == 0), found).otherwise(_let(F.array_sort(F.concat(of_others, own)), free))
 
 
 def find_spans(docs: DataFrame, weights: dict[tuple, float], text: str = "text") -> DataFrame:
     """``docs`` with ``pii_spans``: array of (start, kind, end, base), ordered. Spans the method
     adds overlap no base span, nor an added one of an earlier kind."""
-    spans = F.col("__candidates")
-    base = F.filter(spans, lambda c: c["base"])
-    out = docs.withColumn("__candidates", candidates(F.col(text))).withColumn("__base", base)
-    likely = F.filter(spans, lambda c: ~c["base"] & (_likelihood(weights, c) >= math.log(ADD_FROM / (1 - ADD_FROM))) & _clear(c, F.col("__base")))
-    out = out.withColumn("__likely", F.when(F.size(spans) > F.size("__base"), likely).otherwise(F.array().cast(_TYPE)))
-    added = F.filter(
-        F.col("__likely"),
-        lambda c: ~F.exists(F.col("__likely"), lambda o: (o["kind"] < c["kind"]) & (o["start"] < c["end"]) & (c["start"] < o["end"])),
-    )
-    rows = F.transform(F.concat(F.col("__base"), added), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
-    return out.withColumn("pii_spans", F.array_sort(rows)).drop("__candidates", "__base", "__likely")
+
+    def ordered(base: Column, added: Column) -> Column:
+        return F.array_sort(F.transform(F.concat(base, added), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"))))
+
+    def by_kind(free: Column) -> Column:
+        each = [_clear(F.filter(free, lambda c, k=k: c["kind"] == k), F.filter(free, lambda c, k=k: c["kind"] < k)) for k in range(len(KINDS))]
+        return F.concat(*each)
+
+    def chosen(spans: Column, base: Column) -> Column:
+        likely = F.filter(spans, lambda c: ~c["base"] & (_likelihood(weights, c) >= math.log(ADD_FROM / (1 - ADD_FROM))))
+        return F.when(F.size(spans) > F.size(base), _let(likely, lambda x: F.when(F.size(x) > 0, _let(_clear(x, base), by_kind)).otherwise(x))).otherwise(F.array().cast(_TYPE))
+
+    made = _let(candidates(F.col(text)), lambda spans: _let(F.filter(spans, lambda c: c["base"]), lambda base: ordered(base, chosen(spans, base))))
+    return docs.withColumn("pii_spans", made)
 
 
 def _listed(spans: Column) -> Column:
@@ -268,19 +304,29 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span found by its kind in brackets. Base spans of different kinds may
     overlap: those that touch are joined first, under the first one's name."""
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     t = F.col(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], piece, name[s["kind"]])).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+    def cut(part: Column, at: Column, pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda x: F.concat(F.substring(part, x["from"] - at + 1, x["to"] - x["from"]), x["name"])), "")
+
+    def joined(pieces: Column) -> Column:
+        # Counting characters starts at a text's begin: each step's stretch is taken out first.
+        def step(own: Column) -> Column:
+            at = own[0]["from"]
+            return _let(F.substring(t, at + 1, F.element_at(own, -1)["to"] - at), lambda part: cut(part, at, own))
+
+        return F.array_join(F.transform(_steps(F.size(pieces)), lambda c: _let(F.slice(pieces, c * STEP + 1, STEP), step)), "")
+
+    def pieces(spans: Column, tops: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(tops, F.lit(1), F.size(tops) - 1))
+        each = F.zip_with(spans, before, lambda s, b: F.struct(b.alias("from"), s["start"].alias("to"), name[s["kind"]].alias("name")))
+        last = F.struct(F.element_at(tops, -1).alias("from"), F.length(t).alias("to"), F.lit("").alias("name"))
+        return F.concat(F.filter(each, lambda x: x["to"] >= x["from"]), F.array(last))
+
+    def whole(spans: Column) -> Column:
+        return _let(_running(F.transform(spans, lambda s: s["end"]), 0, F.greatest), lambda tops: _let(pieces(spans, tops), joined))
 
-    done = F.aggregate(F.col("pii_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return docs.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(t))
+    return docs.withColumn(text, F.when(F.size("pii_spans") > 0, _let(F.col("pii_spans"), whole)).otherwise(t))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
