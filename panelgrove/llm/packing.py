@@ -2,19 +2,22 @@
 
 Each task packs the documents it reads, in the order it reads them. Whole windows are cut off a
 long document; what remains goes to the fill level that minimises the sum of squared counts of
-partly filled windows over all levels, which a level array tracks. A window leaves memory once it
-is full, and what stays open is bounded by the number of levels and the few windows at each. At
-the end of a task the emptiest open windows are cut up to fill the gaps of the fullest, and the
-single window left over is divided into windows whose lengths are powers of two.
+partly filled windows over all levels, which a level array tracks; of equally good levels the lowest
+is taken. A window leaves memory once it is full. Remainders that don't fit together would stay open
+without a bound: whenever open windows hold more than ``OPEN_TOKENS`` tokens, and at the end of a
+task, the emptiest are cut up to fill the gaps of the fullest, and one is left over. At the end that one
+is divided into windows whose lengths are powers of two.
 
 Defined cases: a null text counts as empty and holds the end id alone; equal rows are packed each
-for itself; a table without rows gives no pieces. Sequence ids are the task's number and a count
-within it: unique, and the same again when a task that reads files is run anew.
+for itself; a very long text is cut into whole windows; a table without rows gives no pieces; other
+columns of ``docs`` are not read. Sequence ids are the task's number and a count within it: unique, and
+the same again when a task that reads files is run anew.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ from .tokens import default_paths, encoder
 
 #: Tokens of a full window, and the id put behind each document.
 WINDOW, END_ID = 2048, 1
+#: Tokens that the open windows of a task hold at most, but for those of one more document.
+OPEN_TOKENS = 2_000_000
 #: Sequence ids of a task start at its number times this.
 TASK_STEP = 1 << 40
 
@@ -41,7 +46,7 @@ class SumOfSquares:
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.closed: list[list] = []
-        self.levels = np.arange(window + 1)
+        self.held = 0  # tokens in open windows
 
     def place(self, piece: tuple) -> int:
         """Put a piece shorter than the window; gives the level it was added to (0: a new window)."""
@@ -58,23 +63,29 @@ class SumOfSquares:
         held = self.open[level].pop() if level else []
         n[level] -= level > 0
         held.append(piece)
+        self.held += size
         if level + size == self.window:
             self.closed.append(held)
+            self.held -= self.window
         else:
             self.open[level + size].append(held)
             n[level + size] += 1
         return level
 
-    def finish(self) -> None:
-        """Close all: cut the emptiest windows' pieces into the gaps of the fullest."""
-        left = [(level, w) for level in range(1, self.window) for w in self.open[level]]
+    def _fill(self) -> list[tuple]:
+        """Close all but one open window: cut the emptiest windows' pieces into the gaps of the fullest.
+        Gives the pieces of the one that is left, last first."""
+        left = deque((level, w) for level in range(1, self.window) for w in self.open[level])
+        self.open = [[] for _ in range(self.window + 1)]
+        self.count[:] = 0
+        self.held = 0
         loose: list[tuple] = []
         while left:
             level, held = left.pop()
             gap = self.window - level
             while gap and (loose or left):
                 if not loose:
-                    loose = left.pop(0)[1][::-1]
+                    loose = left.popleft()[1][::-1]
                 doc, start, size = loose.pop()
                 take = min(size, gap)
                 held.append((doc, start, take))
@@ -85,6 +96,19 @@ class SumOfSquares:
                 self.closed.append(held)
             else:
                 loose = held[::-1]
+        return loose
+
+    def compact(self) -> None:
+        """Leave one open window at most."""
+        if loose := self._fill():
+            level = sum(p[2] for p in loose)
+            self.open[level].append(loose[::-1])
+            self.count[level] += 1
+            self.held = level
+
+    def finish(self) -> None:
+        """Close all."""
+        loose = self._fill()
         size = sum(p[2] for p in loose)
         while size:
             gap = 1 << (size.bit_length() - 1)
@@ -98,8 +122,6 @@ class SumOfSquares:
                 if take < n:
                     loose.append((doc, start + take, n - take))
             self.closed.append(held)
-        self.open = [[] for _ in range(self.window + 1)]
-        self.count[:] = 0
 
 
 def pack(
@@ -164,6 +186,8 @@ def pack(
                     packer.closed.append([(seen, at, window)])
                 if rest:
                     packer.place((seen, cut, rest))
+                if packer.held > OPEN_TOKENS:
+                    packer.compact()
                 n = len(packer.closed)
                 if n > 200:
                     yield from out(made)

@@ -1,5 +1,6 @@
 """Text operators against brute force, and on nulls, empty tables, repeats and clashing names."""
 
+import itertools
 import re
 import time
 from collections import Counter
@@ -129,6 +130,25 @@ def test_language(docs, none):
     assert language.learn(none) is None and language.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_forward_backward_is_that_of_all_paths(monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(language, "SEGMENT", 2)  # messages between segments too
+    lengths = np.array([5, 1, 4])
+    scores, steps = rng.normal(size=(10, 3)), rng.normal(size=(3, 3))
+    prob, pairs = language.forward_backward(scores, lengths, steps)
+    want, moves, at = np.zeros((10, 3)), np.zeros((3, 3)), 0
+    for n in lengths:
+        paths = np.array(list(itertools.product(range(3), repeat=int(n) + 1)))  # the word before the first is unknown
+        w = np.exp([scores[at + np.arange(n), p[1:]].sum() + steps[p[:-1], p[1:]].sum() for p in paths])
+        w /= w.sum()
+        for p, x in zip(paths, w):
+            want[at + np.arange(n), p[1:]] += x
+            np.add.at(moves, (p[:-1], p[1:]), x)
+        at += n
+    np.testing.assert_allclose(prob, want, atol=1e-9)
+    np.testing.assert_allclose(pairs, moves, atol=1e-9)
+
+
 def test_language_learns_from_every_language(spark, monkeypatch):
     rows = [(i, f"wort{i % 70}a wort{i % 70}b", f"l{i % 70}") for i in range(2100)] + [(3000, "lang " * 5000, "long")]
     monkeypatch.setattr(language, "fit", lambda rows: rows)
@@ -164,16 +184,61 @@ def test_ids_are_those_of_the_own_file():
 
 
 def test_sum_of_squares_choice():
-    s = packing.SumOfSquares(10)
-    for i, (size, level) in enumerate([(6, 0), (4, 6), (3, 0), (3, 3)]):
-        assert s.place((i, 0, size)) in (level, 0)
-    s.finish()
-    assert sum(p[2] for w in s.closed for p in w) == 16
+    """Each piece goes to the level that an exhaustive search finds best."""
+    rng, window = np.random.default_rng(2), 23
+    packer, fills = packing.SumOfSquares(window), []
+    for i, size in enumerate(rng.integers(1, window, 600).tolist()):
+        def after(level):
+            left = list(fills)
+            if level:
+                left.remove(level)
+            return sum(n * n for n in Counter(x for x in [*left, level + size] if x < window).values())
+
+        costs = {level: after(level) for level in {0, *fills} if level + size <= window}
+        level = packer.place((i, 0, size))
+        assert costs[level] == min(costs.values()) and level == min(x for x in costs if costs[x] == costs[level])
+        if level:
+            fills.remove(level)
+        if level + size < window:
+            fills.append(level + size)
+        assert packer.held == sum(fills)
+        if i % 200 == 150:
+            packer.compact()
+            fills = [fills_left] if (fills_left := sum(fills) % window) else []
+            assert packer.held == sum(fills)
+    packer.finish()
+    sizes = [sum(p[2] for p in w) for w in packer.closed]
+    assert all(n == window or n & (n - 1) == 0 for n in sizes)
+    pieces = sorted(p for w in packer.closed for p in w)
+    assert all(y[1] == x[1] + x[2] if x[0] == y[0] else y[1] == 0 for x, y in zip(pieces, pieces[1:]))
+
+
+def test_packing_of_remainders_that_never_fit_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_TOKENS", 500)
+    most = []
+    place = packing.SumOfSquares.place
+    monkeypatch.setattr(packing.SumOfSquares, "place", lambda self, piece: (most.append(self.held), place(self, piece))[1])
+    packer = packing.SumOfSquares(64)
+    for i in range(3000):
+        packer.place((i, 0, 40))
+        if packer.held > packing.OPEN_TOKENS:
+            packer.compact()
+    packer.finish()
+    assert max(most) <= 540 and sum(p[2] for w in packer.closed for p in w) == 120_000 and len(packer.closed) == 1875
 
 
 def test_binary_round_trip(docs, none):
     out = binary.pack_binary(docs, window=64).collect()
     assert sum(r.n_tokens for r in out) == sum(len(tokens.encoder()(r[1])) + 1 for r in ROWS)
+    pieces = {}
+    for r in out:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        for d, start, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            pieces.setdefault(d, []).append((start, ids[a:b]))
+    for d, own in pieces.items():
+        whole = [*tokens.encoder()(next(r[1] for r in ROWS if r[0] == d)).tolist(), 1]
+        times = sum(r[0] == d for r in ROWS)
+        assert sorted(own) == sorted((at, whole[at : at + 64]) for at in range(0, len(whole), 64) for _ in range(times))
     assert all(r.cu_seqlens[-1] == r.n_tokens <= 64 and r.position_resets == r.cu_seqlens[:-1] for r in out)
     ids, pos = binary.matrix(out, 64)
     assert ids.shape == (len(out), 64) and (pos[:, 0] == 0).all()
@@ -183,6 +248,22 @@ def test_binary_round_trip(docs, none):
     assert sorted(i for w in held for i in w) == list(range(7)) and all(sum(sizes[i] for i in w) <= 10 for w in held) and len(held) == 3
 
 
+def test_best_fit_is_that_of_a_linear_scan():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        sizes = rng.integers(1, 40, rng.integers(0, 200)).tolist()
+        rooms, want = [], []
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fit = min((r for r in rooms if r >= sizes[i]), default=None)
+            if fit is not None:
+                rooms.remove(fit)
+            rooms.append((40 if fit is None else fit) - sizes[i])
+            want.append(fit)
+        held = binary.best_fit_decreasing(sizes, 40)
+        assert sorted(40 - sum(sizes[i] for i in w) for w in held) == sorted(rooms)
+        assert sorted(i for w in held for i in w) == list(range(len(sizes))) and len(held) == want.count(None)
+
+
 def test_passages(docs, none, spark):
     out = passages.shared_passages(docs).collect()
     assert [(r.doc_id, r.source_id, r.n_words, r.edits) for r in out] == [(2, 1, 300, 0)]
