@@ -158,3 +158,13 @@ def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     if k.count() <= BROADCAST_KEYS:
         k = F.broadcast(k)
     return df.join(k, df[column] == k["__key"], "left_semi")
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text) with one row an id: of rows that share an id the smallest text stays. Only these
+    are shuffled."""
+    repeated = settle(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if not repeated.limit(1).count():
+        return rows
+    once = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return rows.join(repeated, "id", "left_anti").unionByName(once)
