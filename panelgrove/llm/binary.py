@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, table
+from .common import short_batches, table
 from .packing import END_ID, TASK_STEP, WINDOW
 from .tokens import default_paths, encoder
 
@@ -84,9 +84,7 @@ def pack_binary(
     """One row a window: ``sequence_id``, ``n_tokens``, ``ids`` (binary), ``cu_seqlens`` (from 0 to
     ``n_tokens``), ``position_resets`` (where positions start again from 0), ``doc_ids`` and
     ``doc_starts`` (each segment's document, and the ids of that document before it), ``ids_crc32``."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(docs.sparkSession)
     own, ranks = tokenizer or default_paths()
     kind = "<u2" if vocabulary <= SHORT else "<u4"
     schema = T.StructType(

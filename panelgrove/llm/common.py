@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch handed to Python; texts may be long, so batches are kept short.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch handed to Python at most (but for one longer row).
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 #: At most so many 8-byte keys are broadcast (about 64 MB as a hash relation); beyond, tables are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -49,6 +49,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches within ``BATCH_ROWS`` and ``BATCH_BYTES``. These are settings of the session; smaller
+    ones of the user stay. Frames are lazy, so they can't be set back here."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not spark.conf.get(size).rstrip("b").isdigit() or int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list]],
@@ -60,9 +70,7 @@ def map_arrow(
     ``make`` runs once in each task and returns a function from a batch to the new columns.
     New columns take the place of kept ones of the same name.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(df.sparkSession)
     names = {n for n, _ in new}
     keep = [c for c in keep if c not in names]
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in new])

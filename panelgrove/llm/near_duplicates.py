@@ -45,7 +45,7 @@ from .components import components, merge
 TREES, DEPTH, REGION = 30, 4, 48
 HASHES = TREES * DEPTH
 #: Shingles of a block of a large family; two blocks meet in a task.
-BLOCK = 500_000
+BLOCK = 250_000
 #: Documents of a block whose overlaps are counted at once.
 STRIPE = 256
 #: Shingles hashed at once for a signature.
@@ -173,12 +173,13 @@ def _links(shingles: list[np.ndarray], comp: np.ndarray, percent: int) -> list[t
     fewer than there are sets."""
     n = len(shingles)
     size = np.array([len(s) for s in shingles])
-    flat, owner = np.concatenate(shingles), np.repeat(np.arange(n), size)
+    flat = np.concatenate(shingles)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    flat, owner = flat[order], np.repeat(np.arange(n, dtype=np.int32), size)[order]
     fresh = np.append(True, flat[1:] != flat[:-1])
-    column = np.cumsum(fresh) - 1
-    begin = np.append(np.flatnonzero(fresh), len(flat))
+    del flat, order
+    column = np.cumsum(fresh, dtype=np.int32) - 1
+    begin = np.append(np.flatnonzero(fresh), len(owner))
     held = np.diff(begin)
     # Shingles of many documents are counted by a product of matrices, rare ones by their lists.
     common = held > max(8, n // 8)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, short_batches, table
 
 TREES, BITS, REACH, RECALL = 16, 48, 16, 0.99
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
@@ -212,6 +212,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` found for each row of
     ``queries``; both hold ``vec_id`` and ``embedding``."""
+    short_batches(vectors.sparkSession)
     v = F.col(embedding).cast("array<double>")
     usual = (d.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))) for d in (vectors, queries))
     rows, asked = (d.groupBy("id").agg(F.min("v").alias("v")) for d in usual)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, table
+from .common import short_batches, table
 from .tokens import default_paths, encoder
 
 #: Tokens of a full window, and the id put behind each document.
@@ -137,9 +137,7 @@ def pack(
     ``ids_crc32`` (over the ids as little-endian unsigned 32-bit numbers), ``doc_tokens``,
     ``sequence_id``, ``offset`` (in the sequence), and with ``with_ids`` the ids themselves
     (``ids``, binary in that form)."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(docs.sparkSession)
     own, ranks = tokenizer or default_paths()
     fields = [docs.schema[doc_id]] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     if with_ids:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_KEYS, map_arrow, settle, table
+from .common import BROADCAST_KEYS, map_arrow, settle, short_batches, table
 
 EXAMPLES, CHARACTERS, BLOCK, NEIGHBOURS = 1000, 16_000_000, 64, 15
 #: A term that so large a share of the examples holds is kept as a full row, the commonest first, up to
@@ -170,6 +170,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 def _counted(docs: DataFrame, known: DataFrame, number: dict[str, int]) -> np.ndarray:
     """Documents that hold each term: all, those labelled 1, those labelled 0."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
