@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import factors as f
-from .plans import alphas, indicators, jobs
+from .plans import alphas, indicators, jobs, studies
 from .sources.bars import bars, bars_sql
 
 #: Results are shown to the precision of a float, and to 10 digits near zero: sums may differ in
@@ -90,8 +90,9 @@ def _books() -> dict[str, Callable[[f.Book], dict[str, f.Ex]]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _book_query(make) for n, make in _books().items()} | jobs.queries()
+    return {n: _book_query(make) for n, make in _books().items()} | jobs.queries() | studies.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _book_sql(make) for n, make in _books().items()} | jobs.oracle_sql()
+    own = jobs.oracle_sql()
+    return {n: _book_sql(make) for n, make in _books().items()} | own | studies.oracle_sql(own["training_rows"])

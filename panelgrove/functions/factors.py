@@ -159,7 +159,7 @@ def _recursive(helpers: dict[str, Recursive]) -> Callable[[pd.DataFrame], pd.Dat
             if r.adjust:
                 g[n] = x.ewm(alpha=r.alpha, adjust=True, min_periods=2).mean()
             else:
-                g[n] = x.dropna().ewm(alpha=r.alpha, adjust=False).mean().reindex(g.index).ffill()
+                g[n] = x.ewm(alpha=r.alpha, adjust=False, min_periods=1).mean()
         return g
 
     return run
@@ -385,12 +385,15 @@ def ts_ewm(x, span):
 
 
 def ts_sma_cn(x, n, m):
-    """y = (m/n) x + (1 - m/n) y', started by the first value; a gap keeps the last one."""
+    """y = (m/n) x + (1 - m/n) y', started by the first value. A gap keeps the last one, and lets its weight
+    fade by 1 - m/n a row."""
     if not 0 < m <= n:
         raise ValueError("0 < m <= n")
     a = m / n
     w = f"({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    d = f"list_reduce(list({x.d}) FILTER (WHERE {x.d} IS NOT NULL) OVER {w}, lambda y, e: CAST({1 - a!r} AS DOUBLE) * y + CAST({a!r} AS DOUBLE) * e)"
+    old, new = f"pow(CAST({1 - a!r} AS DOUBLE), e.s - y.s)", f"CAST({a!r} AS DOUBLE)"
+    step = f"struct_pack(v := ({old} * y.v + {new} * e.v) / ({old} + {new}), s := e.s)"
+    d = f"(list_reduce(list(struct_pack(v := {x.d}, s := CAST(seq AS DOUBLE))) FILTER (WHERE {x.d} IS NOT NULL) OVER {w}, lambda y, e: {step})).v"
     d = f"CASE WHEN count({x.d}) OVER {w} > 0 THEN {d} END"
     return x.book.staged(False, _Keyed(x.s, a, False), d, x.level)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +53,15 @@ def with_split(rows: DataFrame, at: str | None = None, share: float = 0.8) -> Da
     """``split``: train before the border and test from it on. Where ``at`` does not lie strictly
     inside a code's range, the border is the code's ``share`` quantile of time. Codes with an
     empty side are left out."""
-    t = F.unix_date("date")
+    whole = dict(rows.dtypes)["date"] == "date"
+
+    def time(c):
+        return F.unix_date(c.cast("date")) if whole else F.unix_micros(c.cast("timestamp"))
+
+    t = time(F.col("date"))
     border = F.percentile(t, F.lit(share))
     if at is not None:
-        day = F.unix_date(F.lit(at).cast("date"))
+        day = time(F.lit(at))
         border = F.when((F.min(t) < day) & (day < F.max(t)), day.cast("double")).otherwise(border)
     borders = rows.groupBy("code").agg(border.alias("__border"))
     out = rows.join(borders, "code").withColumn("split", F.when(t < F.col("__border"), "train").otherwise("test")).drop("__border")
@@ -69,11 +75,17 @@ def dataset(bars: DataFrame, horizon: int = 5, at: str | None = None) -> DataFra
     return with_split(made.dropna("any", subset=[c for c in made.columns if c.startswith("feat_")] + ["target"]), at)
 
 
+def matrix(made: DataFrame) -> DataFrame:
+    """``made`` with its ``feat_`` columns, by name, as one vector ``features``."""
+    return VectorAssembler(inputCols=sorted(c for c in made.columns if c.startswith("feat_")), outputCol="features").transform(made)
+
+
 def report(made: DataFrame, codes: DataFrame) -> DataFrame:
     """Per code: rows and share of rising targets by split; ``ok`` or ``skipped``."""
     sums = made.groupBy("code").agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
         F.avg(F.when(F.col("split") == "train", F.col("target"))).alias("up_train"),
+        F.avg(F.when(F.col("split") == "test", F.col("target"))).alias("up_test"),
     )
     return codes.select("code").distinct().join(sums, "code", "left").withColumn("status", F.when(F.col("n_train") > 0, "ok").otherwise("skipped"))

@@ -1,12 +1,15 @@
 """Signals to trades, equity and metrics.
 
-Bars need (run_id, code, date, open, close, action); actions are BUY, SELL and HOLD. An account is
+Bars need (run_id, code, date, open, close, action), ``date`` being a date or a timestamp and codes of any
+type; actions are BUY, SELL and HOLD. An account is
 all in or all out, and the number of shares depends on the cash so far, so fills are folded in time
 order per (run, code); everything else is windows and aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 CASH, FEE, PERIODS = 10_000_000.0, 0.00015, 252
 ACTIONS = ("BUY", "SELL", "HOLD")
 _KEY = ("run_id", "code")
-_FILLS = "run_id string, code long, date date, action string, price double, qty double, pnl double, cash double, shares double"
+_FILLS = ("action string", "price double", "qty double", "pnl double", "cash double", "shares double")
 
 
 def _w():
@@ -37,6 +40,25 @@ def from_probability(p: Column, buy: float = 0.55, sell: float = 0.45) -> Column
     return F.when(p >= buy, "BUY").when(p <= sell, "SELL").otherwise("HOLD")
 
 
+def traded(orders: Iterable[tuple], money: float, shares: float, paid: float, fee: float) -> tuple[list[tuple], float, float, float]:
+    """The fills of orders (date, act, price) in time order, and the account after them: cash, shares, and
+    what was paid for these."""
+    out = []
+    for date, act, price in orders:
+        if act == "BUY" and not shares:
+            n = float(money // (price * (1 + fee)))
+            if n > 0:
+                money -= n * price * (1 + fee)
+                shares, paid = n, n * price * (1 + fee)
+                out.append((date, act, price, n, None, money, shares))
+        elif act == "SELL" and shares:
+            got = shares * price * (1 - fee)
+            money += got
+            out.append((date, act, price, shares, got - paid, money, 0.0))
+            shares = 0.0
+    return out, money, shares, paid
+
+
 def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: float = FEE) -> DataFrame:
     """The trades: one row per fill with price, quantity, profit (missing for BUY), and the account after it."""
     known = F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce("action", F.lit("null")))))
@@ -52,25 +74,14 @@ def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: flo
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date", kind="stable")
-        money, shares, paid, out = cash, 0.0, 0.0, []
-        for date, act, price in zip(g["date"], g["act"], g["price"]):
-            if act == "BUY" and not shares:
-                n = float(money // (price * (1 + fee)))
-                if n > 0:
-                    money -= n * price * (1 + fee)
-                    shares, paid = n, n * price * (1 + fee)
-                    out.append((date, act, price, n, None, money, shares))
-            elif act == "SELL" and shares:
-                got = shares * price * (1 - fee)
-                money += got
-                out.append((date, act, price, shares, got - paid, money, 0.0))
-                shares = 0.0
+        out, *_ = traded(zip(g["date"], g["act"], g["price"]), cash, 0.0, 0.0, fee)
         made = pd.DataFrame(out, columns=["date", "action", "price", "qty", "pnl", "cash", "shares"])
         made.insert(0, "code", g["code"].iloc[0])
         made.insert(0, "run_id", g["run_id"].iloc[0])
         return made
 
-    return orders.groupBy(*_KEY).applyInPandas(fold, _FILLS)
+    kinds = dict(orders.dtypes)
+    return orders.groupBy(*_KEY).applyInPandas(fold, ", ".join([f"{c} {kinds[c]}" for c in (*_KEY, "date")] + list(_FILLS)))
 
 
 def equity(bars: DataFrame, trades: DataFrame, cash: float = CASH) -> DataFrame:

@@ -32,7 +32,29 @@ def weighted(rows: DataFrame, kind: str, field: str) -> DataFrame:
     raise ValueError(kind)
 
 
-def rebalanced(rows: DataFrame, unit: str, field: str = "weight") -> DataFrame:
-    """The first value of each week, month (or day) of a code holds for the whole of it."""
-    w = Window.partitionBy("code", F.date_trunc(unit, "date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(field, F.first(field).over(w))
+def threshold(rows: DataFrame, field: str, least: float) -> DataFrame:
+    """Rows whose ``field`` is at least so large."""
+    return rows.where(F.col(field) >= least)
+
+
+def listed(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows of an explicit list of codes."""
+    return rows.join(codes.select("code").distinct(), "code", "left_semi")
+
+
+def weighted_sum(parts: dict[str, float]):
+    """A signal column: the weighted sum of other columns."""
+    total = F.lit(0.0)
+    for name, w in sorted(parts.items()):
+        total = total + F.col(name) * w
+    return total
+
+
+def rebalanced(chosen: DataFrame, panel: DataFrame, unit: str) -> DataFrame:
+    """The rows of ``chosen`` (date, code, ...) on the panel's first date of each week, month (or other
+    unit) are held for the whole of it: on each of its dates that the code has in ``panel``."""
+    period = F.date_trunc(unit, "date").alias("__period")
+    dates = panel.select("date", period).distinct()
+    first = dates.groupBy("__period").agg(F.min("date").alias("date"))
+    held = chosen.join(first, "date").drop("date")
+    return panel.select("date", "code", period).join(held, ["__period", "code"]).drop("__period")

@@ -188,8 +188,8 @@ SELECT factor_id, {', '.join(f'round({n}, 6) AS {n}' for n in hygiene.REFERENCES
 def top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = f.Book()
     made = b.frame(bars(spark, sf_dir), {"signal": f.ts_returns(b.close, 3), "cap": b.cap})
-    picked = selection.top_bottom_n(selection.top_n_by(made, "cap", 50), "signal", 10)
-    out = selection.rebalanced(selection.weighted(picked, "rank", "signal"), "quarter")
+    picked = selection.weighted(selection.top_bottom_n(selection.top_n_by(made, "cap", 50), "signal", 10), "rank", "signal")
+    out = selection.rebalanced(picked.select("date", "code", "signal", "side", "weight"), made, "quarter")
     return _shown(out.select("code", "date", "signal", F.col("side").cast("long").alias("side"), "weight"))
 
 
@@ -202,9 +202,10 @@ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY cap
 s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal DESC, code) AS d, row_number() OVER (PARTITION BY date ORDER BY signal, code DESC) AS p FROM u WHERE signal IS NOT NULL),
 k AS (SELECT *, CASE WHEN d <= 10 THEN 1 ELSE -1 END AS side FROM s WHERE d <= 10 OR p <= 10),
 w AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal, code DESC) AS q FROM k),
-v AS (SELECT *, q::DOUBLE / sum(q) OVER (PARTITION BY date) AS weight FROM w)
-SELECT code, CAST(date AS VARCHAR) AS date, {_d('signal')} AS signal, side::BIGINT AS side,
-       {_d("first(weight) OVER (PARTITION BY code, date_trunc('quarter', date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS weight FROM v"""
+v AS (SELECT *, q::DOUBLE / sum(q) OVER (PARTITION BY date) AS weight FROM w),
+f AS (SELECT date_trunc('quarter', date) AS period, min(date) AS start FROM a GROUP BY 1)
+SELECT a.code, CAST(a.date AS VARCHAR) AS date, {_d('v.signal')} AS signal, v.side::BIGINT AS side, {_d('v.weight')} AS weight
+FROM a JOIN f ON f.period = date_trunc('quarter', a.date) JOIN v ON v.date = f.start AND v.code = a.code"""
 
 
 def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:

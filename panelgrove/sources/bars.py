@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("lineitem", "supplier", "nation", "region")
 
@@ -42,18 +43,23 @@ def read_csv_folder(spark: SparkSession, path: str, codes: list[str] | None = No
     """Bars from a folder with one CSV a code; the file's stem is the code, kept as a string."""
     schema = "datetime TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
     out = spark.read.schema(schema).csv(path, header=True, enforceSchema=False).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.csv", 1))
+    # A missing number is null, never NaN: sums and means would turn NaN.
+    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("open", "high", "low", "close", "volume")})
     return out.filter(F.col("code").isin(list(codes))) if codes is not None else out
 
 
 def write_split(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """Rows with ``split`` and ``code``, one folder each."""
-    rows.write.partitionBy("split", "code").format(kind).option("header", True).mode("error").save(path)
+    rows.repartition("split", "code").write.partitionBy("split", "code").format(kind).option("header", True).mode("error").save(path)
 
 
-def read_split(spark: SparkSession, path: str, split: str, code: str | None = None) -> DataFrame:
-    """Back from :func:`write_split`; only the wanted folders are read."""
-    out = spark.read.parquet(path).filter(F.col("split") == split)
-    return out.filter(F.col("code").cast("string") == code) if code is not None else out
+def read_split(spark: SparkSession, path: str, split: str, code: str | None = None, kind: str = "parquet") -> DataFrame:
+    """Back from :func:`write_split`; only the wanted folders are read. Codes are strings, with their leading zeros."""
+    read = spark.read.format(kind).option("header", True)
+    found = (read.option("inferSchema", True) if kind == "csv" else read).load(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("split", "code") else f for f in found])
+    out = read.schema(schema).load(path).filter(F.col("split") == split)
+    return out.filter(F.col("code") == code) if code is not None else out
 
 
 def read_corpus(spark: SparkSession, *paths: str, version: str | None = None) -> DataFrame:

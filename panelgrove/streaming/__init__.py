@@ -1 +1 @@
-"""Incremental forms of the jobs."""
+"""Jobs on bars that arrive over time."""
