@@ -2,9 +2,9 @@
 and sector (``grp_``).
 
 A :class:`Book` gathers expressions over one panel (code, date, seq, sector and number columns).
-Window functions can't hold each other, so every window becomes a column of a stage: windows over
-time stand in odd stages and windows across codes in even ones, each in the first stage whose
-inputs are ready. However many factors a book holds, all of one stage share a shuffle by code or
+Window functions can't hold each other, so every window becomes a column of a stage. Stages make up
+phases: windows over time stand in odd phases and windows across codes in even ones, each in the first
+whose inputs are ready. However many factors a book holds, all of one phase share a shuffle by code or
 by date, and equal windows are computed once. Values are doubles, missing ones are null.
 
 The texts are SQL that Spark and the checking engine both read; where they differ, both are given.
@@ -88,6 +88,10 @@ class Ex:
         return _flag("{} > 0 AND {} > 0", self, o)
 
 
+#: Stages are numbered phase * PHASE + step.
+PHASE = 1000
+
+
 class Book:
     """Expressions over one panel, staged together."""
 
@@ -110,8 +114,13 @@ class Book:
         return Ex(self, name, name)
 
     def staged(self, across: bool, s, d: str, level: int) -> Ex:
-        """A window over time (odd stage) or across codes (even stage) of inputs up to ``level``."""
-        at = level + 1 + ((level + 1) % 2 == (0 if not across else 1))
+        """A window over time (odd phase) or across codes (even phase) of inputs up to ``level``. A window
+        of a window of its own kind stays in the phase, one step on."""
+        phase, step = divmod(level, PHASE)
+        if level == 0:
+            at = (1 + across) * PHASE
+        else:
+            at = phase * PHASE + step + 1 if (phase % 2 == 0) == across else (phase + 1) * PHASE
         key = (at, s if isinstance(s, str) else d)
         if key not in self.names:
             name = f"f{sum(map(len, self.stages.values()))}"
@@ -129,9 +138,13 @@ class Book:
                 out = out.select("*", *[F.expr(r.x).alias(f"{n}_x") for n, r in helpers.items()])
                 schema = T.StructType(out.schema.fields + [T.StructField(n, T.DoubleType()) for n in helpers])
                 out = out.groupBy("code").applyInPandas(_recursive(helpers), schema).drop(*[f"{n}_x" for n in helpers])
-            if plain:
-                # Windows read the columns of earlier stages only.
-                out = out.select("*", *plain)
+            # Windows read the columns of earlier stages only, so those by date can go first: rows that
+            # are dealt by date need no other exchange for windows by date and sector.
+            sectors = [c for c, (s, _) in zip(plain, (d for d in defs.values() if not isinstance(d[0], Recursive))) if _SECTOR in str(s)]
+            if others := [c for c in plain if not any(c is x for x in sectors)]:
+                out = out.select("*", *others)
+            if sectors:
+                out = out.select("*", *sectors)
         return out.select(*keep, *[F.expr(e.s).alias(n) for n, e in outputs.items()])
 
     def sql(self, panel: str, outputs: dict[str, Ex], keep: list[str] = ("code", "date"), shape: str = "{}") -> str:

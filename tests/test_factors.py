@@ -6,6 +6,7 @@ import pytest
 
 from panelgrove import catalog
 from panelgrove.functions import factors as f
+from panelgrove.plans import alphas
 
 
 @pytest.fixture(scope="module")
@@ -70,5 +71,17 @@ def test_stages_share_shuffles(spark, panel):
     assert plan.count("Exchange hashpartitioning") <= 4  # twice in the text of an adaptive plan
 
 
+def test_all_formulas_share_few_shuffles(spark, panel):
+    b = f.Book()
+    own = alphas.alphas(b, list(range(1, 102)))
+    rows = panel[0].selectExpr("*", "close as open", "close as high", "close as low", "close as vwap", "close as cap")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = b.frame(rows, own)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") <= 7 and len({at // f.PHASE for at in b.stages}) <= 7
+
+
 def test_names_match_sql():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"model_trades", "model_strategy"}
