@@ -49,6 +49,92 @@ def test_rolling(panel, make, fn):
     np.testing.assert_allclose(run(panel, make), roll(panel, fn, 7), atol=1e-9)
 
 
+def every(panel, fn, w, col="close"):
+    """Over windows that hold a value in every row, cut at a code's begin."""
+    least = min(w, max(2, w // 2))
+
+    def one(s):
+        x = s.to_numpy(float)
+        out = np.full(len(x), np.nan)
+        for i in range(len(x)):
+            part = x[max(0, i - w + 1) : i + 1]
+            if len(part) >= least and not np.isnan(part).any():
+                out[i] = fn(part)
+        return pd.Series(out, s.index)
+
+    return panel[1].groupby("code")[col].transform(one).to_numpy(float)
+
+
+def line(y, what):
+    t = np.arange(len(y))
+    b, a = np.polyfit(t, y, 1)
+    fit = a + b * t
+    if what == "r2":
+        return 1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum() if y.max() > y.min() else np.nan
+    return b if what == "slope" else y[-1] - fit[-1]
+
+
+@pytest.mark.parametrize(
+    "make, fn, col",
+    [
+        (lambda b: f.ts_product(b.close / 50, 5), lambda x: np.prod(x / 50), "close"),
+        (lambda b: f.ts_argmax(b.volume, 5), lambda x: len(x) - 1 - np.argmax(x), "volume"),
+        (lambda b: f.ts_argmin(b.volume, 5), lambda x: len(x) - 1 - np.argmin(x), "volume"),
+        (lambda b: f.ts_slope(b.close, 5), lambda x: line(x, "slope"), "close"),
+        (lambda b: f.ts_rsquare(b.volume, 5), lambda x: line(x, "r2"), "volume"),
+        (lambda b: f.ts_resi(b.close, 5), lambda x: line(x, "resi"), "close"),
+        (lambda b: f.ts_decay_linear(b.close, 5), lambda x: (x * np.arange(1, len(x) + 1)).sum() / (len(x) * (len(x) + 1) / 2), "close"),
+    ],
+)
+def test_windows_that_need_every_value(panel, make, fn, col):
+    np.testing.assert_allclose(run(panel, make), every(panel, fn, 5, col), atol=1e-8)
+
+
+@pytest.mark.parametrize(
+    "make, fn",
+    [
+        (lambda b: f.ts_delay(b.close, 3), lambda s: s.shift(3)),
+        (lambda b: f.ts_delta(b.close, 3), lambda s: s - s.shift(3)),
+        (lambda b: f.ts_returns(b.close, 3), lambda s: s / s.shift(3) - 1),
+        (lambda b: f.ts_cumsum(b.close), lambda s: s.cumsum()),
+        (lambda b: f.ts_cumprod(b.close / 50), lambda s: (s / 50).cumprod()),
+        (lambda b: f.ts_sum(b.close, 6), lambda s: s.rolling(6, min_periods=3).sum()),
+        (lambda b: f.ts_min(b.close, 6), lambda s: s.rolling(6, min_periods=3).min()),
+        (lambda b: f.ts_var(b.close, 6), lambda s: s.rolling(6, min_periods=3).var()),
+        (lambda b: f.ts_mean(b.close, 3.9), lambda s: s.rolling(3, min_periods=2).mean()),
+    ],
+)
+def test_operators_over_time(panel, make, fn):
+    want = panel[1].groupby("code")["close"].transform(lambda s: fn(s.astype(float))).to_numpy(float)
+    np.testing.assert_allclose(run(panel, make), want, atol=1e-8)
+
+
+@pytest.mark.parametrize("make, name", [(lambda b: f.ts_corr(b.close, b.volume, 8), "corr"), (lambda b: f.ts_cov(b.close, b.volume, 8), "cov")])
+def test_pairs(panel, make, name):
+    df = panel[1]
+    parts = [getattr(g["close"].astype(float).rolling(8, min_periods=4), name)(g["volume"]) for _, g in df.groupby("code")]
+    np.testing.assert_allclose(run(panel, make), pd.concat(parts).reindex(df.index).to_numpy(float), atol=1e-7)
+
+
+@pytest.mark.parametrize(
+    "make, fn, keys",
+    [
+        (lambda b: f.cs_scale(b.close), lambda s: s / s.abs().sum(), ["date"]),
+        (lambda b: f.cs_mean(b.close), lambda s: s.mean(), ["date"]),
+        (lambda b: f.cs_std(b.close), lambda s: s.std(), ["date"]),
+        (lambda b: f.cs_median(b.close), lambda s: s.median(), ["date"]),
+        (lambda b: f.grp_mean(b.close), lambda s: s.mean(), ["date", "sector"]),
+        (lambda b: f.grp_demean(b.close), lambda s: s - s.mean(), ["date", "sector"]),
+        (lambda b: f.grp_rank(b.volume), lambda s: s.rank(pct=True), ["date", "sector"]),
+    ],
+)
+def test_operators_across_codes(panel, make, fn, keys):
+    df = panel[1]
+    col = "volume" if make.__code__.co_names[-1] == "volume" else "close"
+    want = df.assign(x=df[col].astype(float)).groupby(keys)["x"].transform(fn).to_numpy(float)
+    np.testing.assert_allclose(run(panel, make), want, atol=1e-9)
+
+
 def test_smoothing(panel):
     want = panel[1].groupby("code")["close"].transform(lambda s: s.astype(float).ewm(span=9, adjust=True, min_periods=2).mean())
     np.testing.assert_allclose(run(panel, lambda b: f.ts_ewm(b.close, 9)), want, atol=1e-9)
