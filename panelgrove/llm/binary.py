@@ -7,7 +7,8 @@ carry where they begin in it. A row is one window: ids as little-endian unsigned
 cumulative segment lengths, where positions start again, and each segment's document.
 
 Defined cases: a null text counts as empty and holds the end id alone; equal rows are packed each
-for itself; a table without rows gives no windows. A chunk's last windows may stay partly empty;
+for itself; of windows with equal room the one filled last is taken; a very long text is cut into whole
+windows; a table without rows gives no windows; other columns are not read. A chunk's last windows may stay partly empty;
 they are stored without padding, and ``matrix`` pads them.
 """
 

@@ -8,7 +8,9 @@ are hashed window by window, and every hit is verified word by word.
 
 Defined cases: a null or empty text has no words and no hits; an item without an id or without
 words takes no part; an item id that occurs twice counts once; rows are judged one by one, so a
-repeated document is reported as often as it occurs.
+repeated document is reported as often as it occurs; windows shared by several items count for each of
+them; very long texts are read whole; empty tables of texts give empty ones, and without items nothing
+is hit. Columns named ``n_words``, ``hit_spans`` or ``hit_items`` are replaced; all others stay.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ of up to ``MAX_LANGUAGES`` languages, fewer (one at least) if there are more, pi
 id; of a longer document a piece of ``MAX_CHARS`` characters. Everything is labelled: whole texts of all documents, in the tasks that read them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
-if there is no labelled text to learn from. Ties go to the language that sorts first.
+if there is no labelled text to learn from. Ties go to the language that sorts first. Rows are judged
+one by one, repeated ones alike; very long texts are read whole; an empty table gives an empty one.
+Columns named ``lang_pred`` or ``score`` are replaced; all others stay.
 """
 
 from __future__ import annotations
