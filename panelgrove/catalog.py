@@ -8,14 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import factors as f
+from .functions.shown import shown
 from .plans import alphas, indicators, jobs, studies
 from .sources.bars import bars, bars_sql
 
-#: Results are shown to the precision of a float, and to 10 digits near zero: sums may differ in
-#: their last places between engines. Overflowing powers are shown as missing.
-SHAPE = "CASE WHEN abs({0}) < 1e30 THEN CAST(CAST(round({0}, 10) AS FLOAT) AS DOUBLE) END"
-
-
 def _elementwise(b: f.Book) -> dict[str, f.Ex]:
     x, y = b.close - b.open, b.vwap - b.close
     return {
@@ -66,7 +62,7 @@ def _book_query(make: Callable[[f.Book], dict[str, f.Ex]]) -> Callable[[SparkSes
         b = f.Book()
         outputs = make(b)
         made = b.frame(_panel(spark, sf_dir), outputs)
-        return made.select("code", F.col("date").cast("string").alias("date"), *[F.expr(SHAPE.format(n)).alias(n) for n in outputs])
+        return made.select("code", F.col("date").cast("string").alias("date"), *[F.expr(shown(n)).alias(n) for n in outputs])
 
     return query
 
@@ -74,7 +70,7 @@ def _book_query(make: Callable[[f.Book], dict[str, f.Ex]]) -> Callable[[SparkSes
 def _book_sql(make: Callable[[f.Book], dict[str, f.Ex]]) -> str:
     b = f.Book()
     outputs = make(b)
-    return b.sql(_panel_sql(), outputs, ["code", "CAST(date AS VARCHAR) AS date"], SHAPE)
+    return b.sql(_panel_sql(), outputs, ["code", "CAST(date AS VARCHAR) AS date"], shown)
 
 
 def _books() -> dict[str, Callable[[f.Book], dict[str, f.Ex]]]:

@@ -147,13 +147,13 @@ class Book:
                 out = out.select("*", *sectors)
         return out.select(*keep, *[F.expr(e.s).alias(n) for n, e in outputs.items()])
 
-    def sql(self, panel: str, outputs: dict[str, Ex], keep: list[str] = ("code", "date"), shape: str = "{}") -> str:
+    def sql(self, panel: str, outputs: dict[str, Ex], keep: list[str] = ("code", "date"), shape: Callable[[str], str] = str) -> str:
         """The same as SQL for the checking engine; ``shape`` wraps every output."""
         parts, last = [f"p0 AS ({panel})"], "p0"
         for at, defs in sorted(self.stages.items()):
             parts.append(f"p{at} AS (SELECT *, " + ", ".join(f"{d} AS {n}" for n, (_, d) in defs.items()) + f" FROM {last})")
             last = f"p{at}"
-        shown = ", ".join(f"{shape.format(e.d)} AS {n}" for n, e in outputs.items())
+        shown = ", ".join(f"{shape(e.d)} AS {n}" for n, e in outputs.items())
         return f"WITH {', '.join(parts)} SELECT {', '.join(keep)}, {shown} FROM {last}"
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import factors as f
+from ..functions.shown import shown
 from ..operators import corpus, dataset, hygiene, profiles, replay, selection
 from ..sources.bars import bars, bars_sql
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    """Doubles to the precision of a float, dates as text."""
+    """Doubles to nine digits, dates as text."""
     cols = []
     for c, t in df.dtypes:
         if t == "double":
-            cols.append(F.round(c, 9).cast("float").cast("double").alias(c))
+            cols.append(F.expr(shown(f"`{c}`")).alias(c))
         elif t == "date":
             cols.append(F.col(c).cast("string").alias(c))
         else:
@@ -25,10 +26,6 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _d(x: str) -> str:
-    return f"CAST(CAST(round({x}, 9) AS FLOAT) AS DOUBLE)"
-
-
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = dataset.dataset(bars(spark, sf_dir))
     names = [c for c in made.columns if c.startswith("feat_")]
@@ -59,7 +56,7 @@ b AS (
 c AS (SELECT * FROM b WHERE rest >= 5 AND {' AND '.join(f'{n} IS NOT NULL' for n in names)}),
 q AS (SELECT code, quantile_cont(date_diff('day', DATE '1970-01-01', date)::DOUBLE, 0.8) AS border FROM c GROUP BY code),
 s AS (SELECT c.*, CASE WHEN date_diff('day', DATE '1970-01-01', date) < border THEN 'train' ELSE 'test' END AS split FROM c JOIN q USING (code))
-SELECT code, CAST(date AS VARCHAR) AS date, {', '.join(f'{_d(n)} AS {n}' for n in names)}, target, split
+SELECT code, CAST(date AS VARCHAR) AS date, {', '.join(f'{shown(n)} AS {n}' for n in names)}, target, split
 FROM s WHERE code IN (SELECT code FROM s GROUP BY code HAVING count(DISTINCT split) = 2)"""
 
 
@@ -104,7 +101,7 @@ st(run_id, code, seq, date, close, did, price, qty, cash, shares, paid, pnl) AS
 """
 
 _TRADES_SQL = _TRADES + f"""
-SELECT run_id, code, CAST(date AS VARCHAR) AS date, did AS action, {_d('price')} AS price, {_d('qty')} AS qty, {_d('pnl')} AS pnl, {_d('cash')} AS cash, {_d('shares')} AS shares
+SELECT run_id, code, CAST(date AS VARCHAR) AS date, did AS action, {shown('price')} AS price, {shown('qty')} AS qty, {shown('pnl')} AS pnl, {shown('cash')} AS cash, {shown('shares')} AS shares
 FROM st WHERE did IS NOT NULL"""
 
 _METRICS_SQL = _TRADES + f""",
@@ -113,8 +110,8 @@ r AS (SELECT *, max(eq) OVER (PARTITION BY run_id, code ORDER BY seq ROWS BETWEE
 m AS (
   SELECT run_id, code, count(*) AS n, arg_max(eq, seq) / arg_min(eq, seq) - 1 AS tr, max((peak - eq) / peak) AS dd, avg(step) AS a, stddev_samp(step) AS s,
          count(did) AS k, avg(CASE WHEN did = 'SELL' THEN (pnl > 0)::INT END) AS won FROM r GROUP BY 1, 2)
-SELECT run_id, code, {_d('CASE WHEN n < 2 THEN 0 ELSE tr END')} AS total_return, {_d('CASE WHEN n < 2 THEN 0 ELSE dd END')} AS mdd,
-       {_d('CASE WHEN n < 3 OR s = 0 THEN 0 ELSE a / s * sqrt(252) END')} AS sharpe, k AS n_trades, {_d('coalesce(won, 0)')} AS win_rate FROM m"""
+SELECT run_id, code, {shown('CASE WHEN n < 2 THEN 0 ELSE tr END')} AS total_return, {shown('CASE WHEN n < 2 THEN 0 ELSE dd END')} AS mdd,
+       {shown('CASE WHEN n < 3 OR s = 0 THEN 0 ELSE a / s * sqrt(252) END')} AS sharpe, k AS n_trades, {shown('coalesce(won, 0)')} AS win_rate FROM m"""
 
 
 def _signals() -> tuple[f.Book, dict[str, f.Ex]]:
@@ -149,7 +146,7 @@ def _checks_sql() -> str:
 , w AS (SELECT factor_id, count(value)::DOUBLE / count(*) AS valid_ratio, count(value) AS n_valid, stddev_samp(value) AS std, avg(abs(value)) AS ma, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1),
 p AS (SELECT factor_id, avg(s) AS date_std FROM (SELECT factor_id, date, stddev_samp(value) AS s FROM x GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT factor_id, max(c)::DOUBLE / sum(c) AS mode_share FROM (SELECT factor_id, round(value, 10) AS r, count(*) AS c FROM x WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
-SELECT factor_id, {_d('valid_ratio')} AS valid_ratio, n_valid, {_d('std')} AS std, {_d('date_std')} AS date_std, {_d('mode_share')} AS mode_share, n_valid < 50 AS undecidable,
+SELECT factor_id, {shown('valid_ratio')} AS valid_ratio, n_valid, {shown('std')} AS std, {shown('date_std')} AS date_std, {shown('mode_share')} AS mode_share, n_valid < 50 AS undecidable,
        valid_ratio < 0.3 AS sparse, std < 1e-9 * (1 + ma) AS constant, date_std < greatest(1e-12, 1e-6 * std) AS no_cross_section, mode_share > 0.9 AS degenerate,
        greatest(abs(lo), abs(hi)) < 1e6 AS bounded, lo >= -1 AND hi <= 1 AND (lo >= 0 OR hi <= 0) AS rank_range
 FROM w JOIN p USING (factor_id) JOIN m USING (factor_id)"""
@@ -159,7 +156,7 @@ def _neutrality_sql() -> str:
     return _long_sql() + f"""
 , g AS (SELECT factor_id, date, sector, avg(value) AS m, sum(abs(value)) AS s, count(value) AS n FROM x WHERE value IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT factor_id, avg(abs(m)) / (sum(s) / sum(n)) AS ratio FROM g GROUP BY 1)
-SELECT factor_id, {_d('ratio')} AS ratio, ratio < 0.01 AS neutral FROM r"""
+SELECT factor_id, {shown('ratio')} AS ratio, ratio < 0.01 AS neutral FROM r"""
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +201,7 @@ k AS (SELECT *, CASE WHEN d <= 10 THEN 1 ELSE -1 END AS side FROM s WHERE d <= 1
 w AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal, code DESC) AS q FROM k),
 v AS (SELECT *, q::DOUBLE / sum(q) OVER (PARTITION BY date) AS weight FROM w),
 f AS (SELECT date_trunc('quarter', date) AS period, min(date) AS start FROM a GROUP BY 1)
-SELECT a.code, CAST(a.date AS VARCHAR) AS date, {_d('v.signal')} AS signal, v.side::BIGINT AS side, {_d('v.weight')} AS weight
+SELECT a.code, CAST(a.date AS VARCHAR) AS date, {shown('v.signal')} AS signal, v.side::BIGINT AS side, {shown('v.weight')} AS weight
 FROM a JOIN f ON f.period = date_trunc('quarter', a.date) JOIN v ON v.date = f.start AND v.code = a.code"""
 
 
@@ -224,7 +221,7 @@ def corpus_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIQUE_SQL = "SELECT arg_min(source, row(source, doc_id)) AS corpus, arg_min(doc_id, row(source, doc_id)) AS alpha_id, md5(text) AS hash FROM documents GROUP BY md5(text)"
 _CENSUS_SQL = f"""
 WITH c AS (SELECT op, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS op FROM documents) GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total FROM c)
-SELECT op, n, {_d('n / total')} AS share, {_d('sum(n) OVER (ORDER BY n DESC, op ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / total')} AS cumulative FROM t"""
+SELECT op, n, {shown('n / total')} AS share, {shown('sum(n) OVER (ORDER BY n DESC, op ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / total')} AS cumulative FROM t"""
 
 
 def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

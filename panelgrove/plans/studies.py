@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as f
+from ..functions.shown import shown
 from ..operators import corpus, dataset, hygiene, profiles, replay, selection
 from ..sources.bars import bars, bars_sql
 from .indicators import indicators
-from .jobs import _d, _fingerprints_sql, _long, _shown
+from .jobs import _fingerprints_sql, _long, _shown
 
 # Profiles.
 
@@ -91,12 +92,12 @@ x AS (
 y AS (SELECT *, CASE WHEN risk_tolerance_hint IS NULL THEN 1 - av ELSE (1 - coalesce(risk_tolerance_confidence, 0)) * (1 - av) + coalesce(risk_tolerance_confidence, 0) * risk_tolerance_hint END AS risk,
   least(1, ((excluded <> '')::INT + (thematic_intent IS NOT NULL)::INT + k) / 4.0::DOUBLE) AS c FROM x),
 z AS (SELECT *, CASE h WHEN 'SHORT' THEN 0.5 WHEN 'MEDIUM' THEN 0.15 ELSE 0.05 END::DOUBLE AS w1, 0.2 + 0.3 * greatest(0, least(1, risk)) AS w2, 0.2 + 0.3 * c AS w3 FROM y)
-SELECT u AS "user", {_d('risk')} AS risk_tolerance, {_d('av')} AS loss_aversion, {_d('0.55 + 0.3 * av')} AS min_confidence_to_act,
-       {_d('0.02 + 0.13 * greatest(0, least(1, risk))')} AS max_position_size_pct, {_d('0.02 + 0.08 * greatest(0, least(1, risk))')} AS stop_loss_pct,
-       {_d('1 + 2 * greatest(0, least(1, risk))')} AS max_leverage, h AS time_horizon, CASE h WHEN 'SHORT' THEN 5 WHEN 'MEDIUM' THEN 180 ELSE 720 END::BIGINT AS holding_days,
-       {_d("CASE WHEN thematic_intent = 'FUTURE_GROWTH_SECTOR' THEN CASE WHEN company_size_preference IS NULL THEN 1 ELSE 0.2 END ELSE 0 END::DOUBLE")} AS theme_share,
+SELECT u AS "user", {shown('risk')} AS risk_tolerance, {shown('av')} AS loss_aversion, {shown('0.55 + 0.3 * av')} AS min_confidence_to_act,
+       {shown('0.02 + 0.13 * greatest(0, least(1, risk))')} AS max_position_size_pct, {shown('0.02 + 0.08 * greatest(0, least(1, risk))')} AS stop_loss_pct,
+       {shown('1 + 2 * greatest(0, least(1, risk))')} AS max_leverage, h AS time_horizon, CASE h WHEN 'SHORT' THEN 5 WHEN 'MEDIUM' THEN 180 ELSE 720 END::BIGINT AS holding_days,
+       {shown("CASE WHEN thematic_intent = 'FUTURE_GROWTH_SECTOR' THEN CASE WHEN company_size_preference IS NULL THEN 1 ELSE 0.2 END ELSE 0 END::DOUBLE")} AS theme_share,
        (company_size_preference IS NULL AND coalesce(thematic_intent, '') <> 'FUTURE_GROWTH_SECTOR')::INT::DOUBLE AS free_share, excluded,
-       {_d('w1 / (w1 + w2 + w3)')} AS hft, {_d('w2 / (w1 + w2 + w3)')} AS ml, {_d('w3 / (w1 + w2 + w3)')} AS llm, s::DOUBLE AS constraints_sum FROM z"""
+       {shown('w1 / (w1 + w2 + w3)')} AS hft, {shown('w2 / (w1 + w2 + w3)')} AS ml, {shown('w3 / (w1 + w2 + w3)')} AS llm, s::DOUBLE AS constraints_sum FROM z"""
 
 
 # Labels and intents.
@@ -191,7 +192,7 @@ def _drift_sql() -> str:
 WITH a AS ({_values_sql(base)}), b AS ({_values_sql(f"SELECT code, date, seq, sector, {moved} FROM ({base})")}),
 j AS (SELECT factor_id, a.value AS x, b.value AS y FROM a JOIN b USING (factor_id, date, code) WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND date <= {cut}),
 g AS (SELECT factor_id, count(*) AS n, CASE WHEN count(*) > 50 THEN avg(abs(x - y)) / (avg(abs(x)) + 1e-12) END AS d FROM j GROUP BY 1)
-SELECT factor_id, n, {_d('d')} AS drift, d > 1e-6 AS looks_ahead FROM g"""
+SELECT factor_id, n, {shown('d')} AS drift, d > 1e-6 AS looks_ahead FROM g"""
 
 
 def scale_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +295,7 @@ u AS (SELECT * FROM a WHERE cap IS NOT NULL QUALIFY row_number() OVER (PARTITION
 s AS (SELECT * FROM u WHERE signal IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY signal DESC, code) <= 50),
 v AS (SELECT code, date, signal, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM s),
 q AS (SELECT date_trunc('week', date) AS p, min(date) AS start FROM a GROUP BY 1)
-SELECT a.code, CAST(a.date AS VARCHAR) AS date, {_d('v.signal')} AS signal, {_d('v.weight')} AS weight
+SELECT a.code, CAST(a.date AS VARCHAR) AS date, {shown('v.signal')} AS signal, {shown('v.weight')} AS weight
 FROM a JOIN q ON q.p = date_trunc('week', a.date) JOIN v ON v.date = q.start AND v.code = a.code"""
 
 
@@ -315,7 +316,7 @@ def _threshold_sql() -> str:
 WITH b AS (SELECT *, close / lag(close, 3) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM ({bars_sql(duck=True)})),
 s AS (SELECT code, date, round(1.5 * ({rank('r')}) + 0.5 * ({rank('volume')}), 9) AS signal FROM b),
 t AS (SELECT * FROM s WHERE code % 3 = 0 AND signal >= 1.2)
-SELECT code, CAST(date AS VARCHAR) AS date, {_d('signal')} AS signal, {_d('signal / sum(abs(signal)) OVER (PARTITION BY date)')} AS weight FROM t"""
+SELECT code, CAST(date AS VARCHAR) AS date, {shown('signal')} AS signal, {shown('signal / sum(abs(signal)) OVER (PARTITION BY date)')} AS weight FROM t"""
 
 
 def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +333,7 @@ def _report_sql(training: str) -> str:
     return f"""
 WITH k AS ({training.replace(border, new)}),
 g AS (SELECT code, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test, avg(target) FILTER (WHERE split = 'train') AS u, avg(target) FILTER (WHERE split = 'test') AS v FROM k GROUP BY 1)
-SELECT code, coalesce(n_train, 0) AS n_train, coalesce(n_test, 0) AS n_test, {_d('u')} AS up_train, {_d('v')} AS up_test, CASE WHEN n_train > 0 THEN 'ok' ELSE 'skipped' END AS status
+SELECT code, coalesce(n_train, 0) AS n_train, coalesce(n_test, 0) AS n_test, {shown('u')} AS up_train, {shown('v')} AS up_test, CASE WHEN n_train > 0 THEN 'ok' ELSE 'skipped' END AS status
 FROM (SELECT DISTINCT code FROM ({bars_sql(duck=True)})) LEFT JOIN g USING (code)"""
 
 
@@ -438,9 +439,9 @@ SELECT request_id, rank::INT AS rank, name, score::INT AS score FROM r WHERE ran
 
 
 def _example_sql() -> str:
-    keys = ", ".join(f"('{h}', {d}, '{k}', {w if v else 0.8 * w})" for h, words, c, v, d in _EXAMPLES if d <= 8 for k, w in [*((x, 2.0) for x in words), *([(c, 1.0)] if c else [])])
-    return f"""WITH {_REQUESTS_SQL}, k(hash, depth, word, w) AS (VALUES {keys}),
-s AS (SELECT request_id, hash, depth, sum(w)::DOUBLE AS score FROM q JOIN k ON contains(t, word) GROUP BY ALL),
+    keys = ", ".join(f"('{h}', {d}, '{k}', {w}, {1.0 if v else 0.8}::DOUBLE)" for h, words, c, v, d in _EXAMPLES if d <= 8 for k, w in [*((x, 2.0) for x in words), *([(c, 1.0)] if c else [])])
+    return f"""WITH {_REQUESTS_SQL}, k(hash, depth, word, w, f) AS (VALUES {keys}),
+s AS (SELECT request_id, hash, depth, sum(w)::DOUBLE * min(f) AS score FROM q JOIN k ON contains(t, word) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, depth, hash) AS rank FROM s)
 SELECT request_id, rank::INT AS rank, hash, score FROM r WHERE rank <= 4"""
 
@@ -451,7 +452,7 @@ _CORPUS_SQL = {
     "corpus_sets": f"{_F} SELECT op, CASE WHEN bool_or(doc_id % 2 = 0) AND bool_or(doc_id % 2 = 1) THEN 'both' WHEN bool_or(doc_id % 2 = 0) THEN 'only_a' ELSE 'only_b' END AS kept_by FROM o GROUP BY 1",
     "corpus_merged_census": f"{_F} SELECT op, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_a, count(*) FILTER (WHERE doc_id % 2 = 1) AS n_b, bool_or(doc_id % 2 = 0) AND bool_or(doc_id % 2 = 1) AS in_both FROM o GROUP BY 1",
     "corpus_usage": f"{_F} SELECT op, count(*) AS n, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang), '') AS axes, string_agg(DISTINCT (n % 4)::VARCHAR, ',' ORDER BY (n % 4)::VARCHAR) AS arities, coalesce(min(CASE WHEN n % 3 > 0 THEN n % 250 END), -1)::BIGINT AS window_min, coalesce(max(CASE WHEN n % 3 > 0 THEN n % 250 END), -1)::BIGINT AS window_max FROM o GROUP BY 1",
-    "corpus_kinds": f"{_F} SELECT kind, count(*) AS n, count(DISTINCT hash) AS n_hashes, max(n % 12)::INT AS depth_max, {_d('avg(n % 12)')} AS depth_mean FROM f GROUP BY 1",
+    "corpus_kinds": f"{_F} SELECT kind, count(*) AS n, count(DISTINCT hash) AS n_hashes, max(n % 12)::INT AS depth_max, {shown('avg(n % 12)')} AS depth_mean FROM f GROUP BY 1",
     "corpus_migration": f"""{_F}, l AS (SELECT DISTINCT hash AS old FROM f WHERE hash IS NOT NULL UNION ALL SELECT md5(i::VARCHAR) FROM range(3) r(i)),
 p AS (SELECT DISTINCT hash AS old, new_hash FROM f WHERE hash IS NOT NULL), j AS (SELECT l.old, coalesce(new_hash, l.old) AS hash, CASE WHEN new_hash IS NULL THEN 'orphan' WHEN new_hash = l.old THEN 'unchanged' ELSE 'remapped' END AS status FROM l LEFT JOIN p ON p.old = l.old)
 SELECT hash, min(old) AS old, arg_min(status, old) AS status, count(DISTINCT old) - 1 AS n_merged FROM j GROUP BY 1""",

@@ -6,6 +6,7 @@ import pytest
 
 from panelgrove import catalog
 from panelgrove.functions import factors as f
+from panelgrove.functions.shown import shown
 from panelgrove.plans import alphas
 
 
@@ -171,3 +172,21 @@ def test_all_formulas_share_few_shuffles(spark, panel):
 
 def test_names_match_sql():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"model_trades", "model_strategy"}
+
+
+def test_shown_values(spark):
+    """Nothing turns null or is off by more than nine digits, and both engines show the same doubles."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    x = [0.0, -0.0, 1e-12, -0.1234567891234, 0.5, 1.0, 2641.86245, -6801.601125, 1e9, 1e30, -9.453440770716568e71, 9.833551094917522e303, 1.7e308, float("inf"), float("-inf"), None]
+    x += [float(v) for v in rng.normal(size=500) * 10.0 ** rng.integers(-12, 300, 500)]
+    rows = pd.DataFrame({"i": range(len(x)), "x": x})
+    got = [r["y"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").selectExpr("i", f"{shown('x')} AS y").orderBy("i").collect()]
+    con = duckdb.connect()
+    con.register("rows", rows)
+    own = [r[0] for r in con.execute(f"SELECT {shown('x')} FROM (SELECT i, CASE WHEN i <> 15 THEN x END AS x FROM rows) ORDER BY i").fetchall()]
+    assert [repr(v) for v in got] == [repr(v) for v in own]
+    assert got[15] is None and got[13:15] == [float("inf"), float("-inf")] and str(got[1]) == "0.0"
+    for v, y in zip(x, got):
+        if v is not None and np.isfinite(v):
+            assert abs(v - y) <= max(1e-9, abs(v) * 2e-9)
