@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .binary import op8_token_binary
 from .decontamination import ORACLE_OP1, op1_decontamination
 from .language import op5_language
+from .lexical import ORACLE_OP12, op12_lexical_search
 from .licenses import op3_licenses
 from .near_duplicates import ORACLE_OP2, op2_near_duplicates
 from .nearest import op9_nearest
@@ -30,9 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_binary,
         op9_nearest,
         op10_pii,
+        op12_lexical_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": ORACLE_OP1, "op2_near_duplicates": ORACLE_OP2}
+    return {"op1_decontamination": ORACLE_OP1, "op2_near_duplicates": ORACLE_OP2, "op12_lexical_search": ORACLE_OP12}
