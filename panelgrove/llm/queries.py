@@ -17,6 +17,7 @@ from .packing import op6_packing
 from .passages import op7_passages
 from .pii import op10_pii
 from .toxicity import op4_toxicity
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_binary,
         op9_nearest,
         op10_pii,
+        op11_whitening,
         op12_lexical_search,
     )
     return {f.__name__: f for f in own}
