@@ -14,6 +14,7 @@ from .licenses import op3_licenses
 from .near_duplicates import ORACLE_OP2, op2_near_duplicates
 from .nearest import op9_nearest
 from .packing import op6_packing
+from .pages import ORACLE_OP13, op13_html_text
 from .passages import op7_passages
 from .pii import op10_pii
 from .toxicity import op4_toxicity
@@ -34,9 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_pii,
         op11_whitening,
         op12_lexical_search,
+        op13_html_text,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": ORACLE_OP1, "op2_near_duplicates": ORACLE_OP2, "op12_lexical_search": ORACLE_OP12}
+    return {"op1_decontamination": ORACLE_OP1, "op2_near_duplicates": ORACLE_OP2, "op12_lexical_search": ORACLE_OP12, "op13_html_text": ORACLE_OP13}
