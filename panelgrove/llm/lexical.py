@@ -81,8 +81,7 @@ def index_blocks(items: DataFrame, item_id: str, text: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, held = None, 0, []
-        count = 0
+        part, at, held, count = None, 0, [], 0
 
         def block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
@@ -96,21 +95,23 @@ def index_blocks(items: DataFrame, item_id: str, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
         for b in batches:
-            part = b.column("part")[0].as_py() if part is None else part
-            b = b.select(["item", "term", "uses"])
             cuts = [0, *(np.flatnonzero(_differs(b.column("item"))) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
-                new = not held or held[-1].column("item")[-1] != b.column("item")[lo]
-                if new and count >= BLOCK_POSTINGS:
+                own = b.column("part")[lo].as_py()
+                new = bool(held) and held[-1].column("item")[-1] != b.column("item")[lo]
+                if held and (own != part or new and count >= BLOCK_POSTINGS):
                     yield block()
-                    at, held, count = at + 1, [], 0
-                held.append(b.slice(lo, hi - lo))
+                    at, held, count = at + 1 if own == part else 0, [], 0
+                part = own
+                held.append(b.select(["item", "term", "uses"]).slice(lo, hi - lo))
                 count += hi - lo
         if held:
             yield block()
 
-    parts = max(1, math.ceil(postings.count() / BLOCK_POSTINGS))
-    dealt = postings.repartition(parts, "item").withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions("item", "term")
+    n = postings.count()
+    parts = 1 if n <= BLOCK_POSTINGS else math.ceil(1.5 * n / BLOCK_POSTINGS)
+    numbered = postings.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    dealt = numbered.repartition(parts, "part").sortWithinPartitions("part", "item", "term")
     return settle(dealt.mapInArrow(run, schema), "index")
 
 
