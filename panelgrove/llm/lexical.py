@@ -156,8 +156,12 @@ class _Heaps:
         self.floor = np.ones(n, np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` of documents (rows) for items (columns)."""
-        for d, i in zip(*np.nonzero(scores >= self.floor)):
+        """``scores`` of documents (rows) for items (columns). Of these rows only the k best of each item, and
+        those equal to the last, can enter."""
+        least = self.floor
+        if len(scores) > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=0)[-self.k])
+        for d, i in zip(*np.nonzero(scores >= least)):
             heap, entry = self.own[i], (int(scores[d, i]), -int(ids[d]))
             if len(heap) < self.k:
                 heapq.heappush(heap, entry)
