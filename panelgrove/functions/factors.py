@@ -8,16 +8,25 @@ whose inputs are ready. However many factors a book holds, all of one phase shar
 by date, and equal windows are computed once. Values are doubles, missing ones are null.
 
 The texts are SQL that Spark and the checking engine both read; where they differ, both are given.
+
+A panel of few codes with long histories is cut into chunks of rows, each of which gets a halo of the rows
+that its windows reach back to; a panel of few dates with many codes is ranked by value counts in buckets.
+Either way no task needs to hold a code or a date, and results are the same (:meth:`Book.frame`).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.written import written
+from .panels import Across, Running, across_wide, halo, running_totals, unhalo
+from .scan import Smoothing, smoothed
 
 Number = "Ex | float | int"
 
@@ -92,11 +101,26 @@ class Ex:
 PHASE = 1000
 
 
+@dataclass(frozen=True)
+class Def:
+    """A column of a stage: for Spark a text, a :class:`Running`, a :class:`Smoothing` or an :class:`Across`; its
+    text for the checking engine; and how many rows it reads before and behind its own."""
+
+    s: str | Running | Smoothing | Across
+    d: str
+    back: int = 0
+    ahead: int = 0
+
+    @property
+    def bounded(self) -> bool:
+        return not isinstance(self.s, Running | Smoothing)
+
+
 class Book:
     """Expressions over one panel, staged together."""
 
     def __init__(self):
-        self.stages: dict[int, dict[str, tuple]] = {}
+        self.stages: dict[int, dict[str, Def]] = {}
         self.names: dict[tuple, Ex] = {}
 
     def __getattr__(self, name: str) -> Ex:
@@ -113,7 +137,7 @@ class Book:
             return _rolling(self.field("volume") * self.field("close"), n, "avg({x})", least=max(2, n // 2))
         return Ex(self, name, name)
 
-    def staged(self, across: bool, s, d: str, level: int) -> Ex:
+    def staged(self, across: bool, made: Def, level: int) -> Ex:
         """A window over time (odd phase) or across codes (even phase) of inputs up to ``level``. A window
         of a window of its own kind stays in the phase, one step on."""
         phase, step = divmod(level, PHASE)
@@ -121,61 +145,83 @@ class Book:
             at = (1 + across) * PHASE
         else:
             at = phase * PHASE + step + 1 if (phase % 2 == 0) == across else (phase + 1) * PHASE
-        key = (at, s if isinstance(s, str) else d)
+        key = (at, made.s if isinstance(made.s, str) else made.d)
         if key not in self.names:
             name = f"f{sum(map(len, self.stages.values()))}"
-            self.stages.setdefault(at, {})[name] = (s, d)
+            self.stages.setdefault(at, {})[name] = made
             self.names[key] = Ex(self, name, name, at)
         return self.names[key]
 
-    def frame(self, panel: DataFrame, outputs: dict[str, Ex], keep: list[str] = ("code", "date")) -> DataFrame:
-        """``panel``'s columns ``keep`` and the outputs."""
+    def frame(self, panel: DataFrame, outputs: dict[str, Ex], keep: list[str] = ("code", "date"), chunk: int | None = None, wide: bool = False) -> DataFrame:
+        """``panel``'s columns ``keep`` and the outputs. With ``chunk``, histories are evaluated in runs of so many
+        rows (for few codes with many rows each), with ``wide``, dates are ranked in buckets (for few dates with
+        many codes each)."""
         out = panel
-        for _, defs in sorted(self.stages.items()):
-            plain = [(s(n) if callable(s) else F.expr(s).alias(n)) for n, (s, _) in defs.items() if not isinstance(s, Recursive)]
-            helpers = {n: s for n, (s, _) in defs.items() if isinstance(s, Recursive)}
-            if helpers:
-                out = out.select("*", *[F.expr(r.x).alias(f"{n}_x") for n, r in helpers.items()])
-                schema = T.StructType(out.schema.fields + [T.StructField(n, T.DoubleType()) for n in helpers])
-                out = out.groupBy("code").applyInPandas(_recursive(helpers), schema).drop(*[f"{n}_x" for n in helpers])
-            # Windows read the columns of earlier stages only, so those by date can go first: rows that
-            # are dealt by date need no other exchange for windows by date and sector.
-            sectors = [c for c, (s, _) in zip(plain, (d for d in defs.values() if not isinstance(d[0], Recursive))) if _SECTOR in str(s)]
-            if others := [c for c in plain if not any(c is x for x in sectors)]:
-                out = out.select("*", *others)
-            if sectors:
-                out = out.select("*", *sectors)
+        for phase, stages in groupby(sorted(self.stages.items()), lambda x: x[0] // PHASE):
+            steps = [defs for _, defs in stages]
+            # Tables that are written hold no columns but those that this phase, later ones and the outputs read.
+            texts = [x.d for at, defs in self.stages.items() if at // PHASE >= phase for x in defs.values()] + [e.s for e in outputs.values()]
+            needed = {*re.findall(r"\w+", " ".join(texts)), *keep, "code", "date", "seq", "sector"}
+            if phase % 2 == 0:
+                for defs in steps:
+                    out = across_wide(_cut(out, needed), {n: x.s for n, x in defs.items()}) if wide else _across_plain(out, defs)
+            elif chunk:
+                out = _in_chunks(out, steps, int(chunk), needed)
+            else:
+                for defs in steps:
+                    out = _over_time(out, defs)
         return out.select(*keep, *[F.expr(e.s).alias(n) for n, e in outputs.items()])
 
     def sql(self, panel: str, outputs: dict[str, Ex], keep: list[str] = ("code", "date"), shape: Callable[[str], str] = str) -> str:
         """The same as SQL for the checking engine; ``shape`` wraps every output."""
         parts, last = [f"p0 AS ({panel})"], "p0"
         for at, defs in sorted(self.stages.items()):
-            parts.append(f"p{at} AS (SELECT *, " + ", ".join(f"{d} AS {n}" for n, (_, d) in defs.items()) + f" FROM {last})")
+            parts.append(f"p{at} AS (SELECT *, " + ", ".join(f"{x.d} AS {n}" for n, x in defs.items()) + f" FROM {last})")
             last = f"p{at}"
         shown = ", ".join(f"{shape(e.d)} AS {n}" for n, e in outputs.items())
         return f"WITH {', '.join(parts)} SELECT {', '.join(keep)}, {shown} FROM {last}"
 
 
-class Recursive:
-    """Exponential smoothing: the one family that no frame of a window expresses."""
-
-    def __init__(self, x: str, alpha: float, adjust: bool):
-        self.x, self.alpha, self.adjust = x, alpha, adjust
-
-
-def _recursive(helpers: dict[str, Recursive]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", kind="stable")
-        for n, r in helpers.items():
-            x = g[f"{n}_x"].astype("float64")
-            if r.adjust:
-                g[n] = x.ewm(alpha=r.alpha, adjust=True, min_periods=2).mean()
-            else:
-                g[n] = x.ewm(alpha=r.alpha, adjust=False, min_periods=1).mean()
-        return g
-
-    return run
+def _cut(rows: DataFrame, needed: set[str]) -> DataFrame:
+    return written(rows.select(*[c for c in rows.columns if c in needed]), "panel")
+
+
+def _over_time(rows: DataFrame, defs: dict[str, Def]) -> DataFrame:
+    plain: list[Column] = [(x.s.column() if isinstance(x.s, Running) else F.expr(x.s)).alias(n) for n, x in defs.items() if not isinstance(x.s, Smoothing)]
+    helpers = {n: x.s for n, x in defs.items() if isinstance(x.s, Smoothing)}
+    out = rows.select("*", *plain) if plain else rows
+    return smoothed(out, helpers) if helpers else out
+
+
+def _across_plain(rows: DataFrame, defs: dict[str, Def]) -> DataFrame:
+    # Windows read the columns of earlier stages only, so those by date can go first: rows that
+    # are dealt by date need no other exchange for windows by date and sector.
+    for sectors in (False, True):
+        own = [F.expr(x.s.text()).alias(n) for n, x in defs.items() if x.s.sectors == sectors]
+        rows = rows.select("*", *own) if own else rows
+    return rows
+
+
+def _in_chunks(rows: DataFrame, steps: list[dict[str, Def]], size: int, needed: set[str]) -> DataFrame:
+    """The steps of a phase over time with every code's history in runs of ``size`` rows. What reads a bounded
+    number of rows finds them in a halo as deep as all steps together; what reads the whole history
+    is done on the runs alone, and ends the halo's use."""
+    while steps:
+        n = next((i + 1 for i, defs in enumerate(steps) if not all(x.bounded for x in defs.values())), len(steps))
+        now, steps = steps[:n], steps[n:]
+        reach = [sum(max((getattr(x, side) for x in defs.values()), default=0) for defs in now) for side in ("back", "ahead")]
+        out = halo(rows, size, *reach)
+        for defs in now:
+            texts = [F.expr(x.s.replace(_ORDER, f"PARTITION BY code, {halo.PART} ORDER BY date")).alias(c) for c, x in defs.items() if x.bounded]
+            out = out.select("*", *texts) if texts else out
+        out = unhalo(out)
+        whole = {c: x.s for c, x in now[-1].items() if not x.bounded}
+        if whole:  # parts and their totals both come from these rows
+            out = _cut(out, needed | {halo.PART})
+        out = running_totals(out, {c: x for c, x in whole.items() if isinstance(x, Running)})
+        helpers = {c: x for c, x in whole.items() if isinstance(x, Smoothing)}
+        rows = (smoothed(out, helpers, halo.PART, size) if helpers else out).drop(halo.PART)
+    return rows
 
 
 def _text(x, which: str) -> str:
@@ -269,13 +315,13 @@ def _rolling(x: Ex, w, agg: str, least: int | None = None, d: str | None = None,
         guard = f"count({xs})@ >= {least}" + (f" AND count({xs})@ = count(*)@" if full else "") + more
         return _windowed(f"CASE WHEN {guard.format(x=xs)} THEN {a.format(x=xs)} END", _frame(w))
 
-    return x.book.staged(False, text(agg, x.s), text(d or agg, x.d), x.level)
+    return x.book.staged(False, Def(text(agg, x.s), text(d or agg, x.d), w - 1), x.level)
 
 
 def ts_delay(x, n):
     n = int(n)
     text = f"lag({{}}, {n})" if n >= 0 else f"lead({{}}, {-n})"
-    return x.book.staged(False, f"{text.format(x.s)} OVER ({_ORDER})", f"{text.format(x.d)} OVER ({_ORDER})", x.level)
+    return x.book.staged(False, Def(f"{text.format(x.s)} OVER ({_ORDER})", f"{text.format(x.d)} OVER ({_ORDER})", max(n, 0), max(-n, 0)), x.level)
 
 
 def ts_delta(x, n):
@@ -369,20 +415,18 @@ def ts_decay_linear(x, w):
     return _rolling(x, w, f"(sum({{x}} * seq)@ - (min(seq)@ - 1) * sum({{x}})@) / ({n} * ({n} + 1) / CAST(2 AS DOUBLE))", full=True)
 
 
-def ts_cumsum(x):
+def _running(x, product: bool):
     w = f"({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    text = "CASE WHEN {0} IS NOT NULL THEN sum({0}) OVER " + w + " END"
-    return x.book.staged(False, text.format(x.s), text.format(x.d), x.level)
+    d = f"CASE WHEN {x.d} IS NOT NULL THEN {'product' if product else 'sum'}({x.d}) OVER {w} END"
+    return x.book.staged(False, Def(Running(x.s, product), d), x.level)
 
 
-def ts_cumprod(x):
-    w = f"({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+def ts_cumsum(x):
+    return _running(x, False)
 
-    def made(name: str):
-        over = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        return F.when(F.expr(x.s).isNotNull(), F.product(F.expr(x.s)).over(over)).alias(name)
 
-    return x.book.staged(False, made, f"CASE WHEN {x.d} IS NOT NULL THEN product({x.d}) OVER {w} END", x.level)
+def ts_cumprod(x):
+    return _running(x, True)
 
 
 def ts_ewm(x, span):
@@ -394,7 +438,7 @@ def ts_ewm(x, span):
     top = f"list_sum(list_transform({every}, lambda e, i: e * {power}))"
     low = f"list_sum(list_transform({every}, lambda e, i: CASE WHEN e IS NOT NULL THEN {power} END))"
     d = f"CASE WHEN count({x.d}) OVER {w} >= 2 THEN {top} / {low} END"
-    return x.book.staged(False, _Keyed(x.s, 1 - keep, True), d, x.level)
+    return x.book.staged(False, Def(Smoothing(x.s, 1 - keep, True), d), x.level)
 
 
 def ts_sma_cn(x, n, m):
@@ -408,11 +452,7 @@ def ts_sma_cn(x, n, m):
     step = f"struct_pack(v := ({old} * y.v + {new} * e.v) / ({old} + {new}), s := e.s)"
     d = f"(list_reduce(list(struct_pack(v := {x.d}, s := CAST(seq AS DOUBLE))) FILTER (WHERE {x.d} IS NOT NULL) OVER {w}, lambda y, e: {step})).v"
     d = f"CASE WHEN count({x.d}) OVER {w} > 0 THEN {d} END"
-    return x.book.staged(False, _Keyed(x.s, a, False), d, x.level)
-
-
-class _Keyed(Recursive):
-    """Recursive definitions are told apart by the checking text."""
+    return x.book.staged(False, Def(Smoothing(x.s, a, False), d), x.level)
 
 
 def _pair(x: Ex, y: Ex, w, agg: str) -> Ex:
@@ -422,7 +462,7 @@ def _pair(x: Ex, y: Ex, w, agg: str) -> Ex:
         u, v = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
         return _windowed(f"CASE WHEN count({u})@ >= {_least(w)} THEN {agg.format(u=u, v=v)} END", _frame(w))
 
-    return x.book.staged(False, text(x.s, y.s), text(x.d, y.d), max(x.level, y.level))
+    return x.book.staged(False, Def(text(x.s, y.s), text(x.d, y.d), w - 1), max(x.level, y.level))
 
 
 def ts_corr(x, y, w):
@@ -439,42 +479,32 @@ def ts_cov(x, y, w):
 # Per date, and per date and sector.
 
 
-def _across(x: Ex, text: str, d: str | None = None, by: str = "date") -> Ex:
-    def made(t: str, v: str) -> str:
-        t = t.format(x=v, w=f"(PARTITION BY {by})", o=f"(PARTITION BY {by} ORDER BY {v} ASC NULLS LAST)", t=f"(PARTITION BY {by} ORDER BY {v} ASC NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW)")
-        return t if by == "date" else f"CASE WHEN sector IS NOT NULL THEN {t} END"
-
-    return x.book.staged(True, made(text, x.s), made(d or text, x.d), x.level)
-
-
-_RANK = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER {o} + (count({x}) OVER {t} - 1) / CAST(2 AS DOUBLE)) / count({x}) OVER {w} END"
+def _across(x: Ex, kind: str, sectors: bool = False) -> Ex:
+    return x.book.staged(True, Def(Across(kind, x.s, sectors), Across(kind, x.d, sectors).text()), x.level)
 
 
 def cs_rank(x):
-    return _across(x, _RANK)
+    return _across(x, "rank")
 
 
 def cs_scale(x):
-    return _across(x, "{x} / nullif(sum(abs({x})) OVER {w}, 0)")
+    return _across(x, "scale")
 
 
 def cs_mean(x):
-    return _across(x, "avg({x}) OVER {w}")
+    return _across(x, "mean")
 
 
 def cs_std(x):
-    return _across(x, "CASE WHEN count({x}) OVER {w} > 1 THEN stddev_samp({x}) OVER {w} END")
+    return _across(x, "std")
 
 
 def cs_median(x):
-    return _across(x, "median({x}) OVER {w}")
-
-
-_SECTOR = "date, sector"
+    return _across(x, "median")
 
 
 def grp_mean(x):
-    return _across(x, "avg({x}) OVER {w}", by=_SECTOR)
+    return _across(x, "mean", True)
 
 
 def grp_demean(x):
@@ -482,4 +512,4 @@ def grp_demean(x):
 
 
 def grp_rank(x):
-    return _across(x, _RANK, by=_SECTOR)
+    return _across(x, "rank", True)
