@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shown import trimmed
+
 #: Groups of date and sector whose aggregates are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -46,7 +48,7 @@ class Across:
     def text(self) -> str:
         """As a window."""
         by = "date, sector" if self.sectors else "date"
-        x, w, o = self.x, f"(PARTITION BY {by})", f"PARTITION BY {by} ORDER BY {self.x} ASC NULLS LAST"
+        x, w, o = self.x, f"(PARTITION BY {by})", f"PARTITION BY {by} ORDER BY {trimmed(self.x)} ASC NULLS LAST"
         t = {
             "rank": f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({o}) + (count({x}) OVER ({o} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / CAST(2 AS DOUBLE)) / count({x}) OVER {w} END",
             "scale": f"{x} / nullif(sum(abs({x})) OVER {w}, 0)",
@@ -132,7 +134,7 @@ def across_wide(rows: DataFrame, defs: dict[str, Across]) -> DataFrame:
     read several times."""
     columns = rows.columns
     xs = {n: f"{n}__x" for n in defs}
-    out = rows.withColumns({xs[n]: F.expr(a.x).cast("double") + 0.0 for n, a in defs.items()})
+    out = rows.withColumns({xs[n]: F.expr(trimmed(a.x) if a.kind == "rank" else a.x).cast("double") + 0.0 for n, a in defs.items()})
     for sectors in (False, True):
         keys = ["date", "sector"] if sectors else ["date"]
         plain = {n: Across(a.kind, xs[n], sectors) for n, a in defs.items() if a.sectors == sectors and a.kind in ("scale", "mean", "std")}

@@ -18,3 +18,9 @@ def shown(x: str) -> str:
         f"CASE WHEN abs({x}) < 1 THEN round(({x}) * 1e{PLACES}) / 1e{PLACES} + 0e0 "
         f"WHEN abs({x}) <= 1.7976931348623157e308 THEN ({large} - ({large} - {part})) * {SCALE}e0 ELSE CAST({x} AS DOUBLE) END"
     )
+
+
+def trimmed(x: str) -> str:
+    """SQL of ``x`` with the upper 30 bits of its number: what ranks compare, so that values which are equal
+    but for the noise of their last places tie in every engine. Relative, so small values keep their order."""
+    return f"CASE WHEN abs({x}) < 1e300 THEN ({x}) * {SPLIT}e0 - (({x}) * {SPLIT}e0 - ({x})) ELSE {x} END"

@@ -174,7 +174,7 @@ def _fingerprints_sql() -> str:
 
     def corr(n: str) -> str:
         u, v = f"CASE WHEN {n} IS NOT NULL THEN value END", n
-        return f"CASE WHEN count({v}) > 50 THEN covar_samp({u}, {v}) / nullif(stddev_samp({u}) * stddev_samp({v}), 0) END AS {n}"
+        return f"CASE WHEN count({v}) > 50 AND max({u}) > min({u}) AND max({v}) > min({v}) THEN covar_samp({u}, {v}) / nullif(stddev_samp({u}) * stddev_samp({v}), 0) END AS {n}"
 
     each = ", ".join(f"CASE WHEN abs({n}) >= {hygiene.MATCH} THEN struct_pack(s := abs({n}), n := '{n}') END" for n in hygiene.REFERENCES)
     return _long_sql() + f""", t AS ({table}),

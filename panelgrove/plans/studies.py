@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import factors as f
 from ..functions.shown import shown
-from ..operators import corpus, dataset, hygiene, profiles, replay, selection
+from ..operators import corpus, dataset, hygiene, lookup, profiles, replay, selection
 from ..sources.bars import bars, bars_sql
 from .indicators import indicators
 from .jobs import _fingerprints_sql, _long, _shown
@@ -409,41 +409,55 @@ def corpus_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("hash", "old", "status", F.size("merged_from").cast("long").alias("n_merged"))
 
 
-#: Names, aliases and lengths of expressions, and labelled formulas, for the look-up queries.
-_RECIPES = [("sma", ["average", "er"], 20), ("rsi", ["strength", "th"], 80), ("obv", ["volume"], 35), ("ad", ["in"], 60), ("mom", ["question", "de"], 18), ("trix", ["what"], 90)]
-_EXAMPLES = [("h1", ["er", "th"], "in", True, 3), ("h2", ["question"], "mo", False, 5), ("h3", ["a", "what"], "", True, 9), ("h4", ["ing", "the"], "er", False, 2), ("h5", ["x"], "th", True, 4)]
-
-
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), "text")
 
 
 def indicator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.find_indicators(_requests(spark, sf_dir), _RECIPES)
+    """Recipes are the benchmark's items: the first word with the number is the name, all words are aliases, the text is the expression."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id is not null and text is not null")
+    words = F.split("text", " ")
+    recipes = items.select(
+        F.concat(words[0], F.lit(" "), F.col("item_id").cast("string")).alias("name"), F.array_distinct(words).alias("aliases"), F.col("text").alias("expression"),
+        F.when(F.col("item_id") % 9 == 4, "mismatch").otherwise("exact").alias("status"),
+    )
+    return lookup.find_indicators(_requests(spark, sf_dir), recipes)
 
 
 def example_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.find_examples(_requests(spark, sf_dir), _EXAMPLES)
+    """Labels are those of documents, under their text's hash: words of its beginning are the keywords."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows = corpus.first_by_hash(
+        docs.join(marks, "doc_id").select(
+            F.md5("text").alias("hash"), F.col("source").alias("corpus"), F.col("doc_id").alias("alpha_id"), (F.length("text") % 12).alias("depth"), F.col("lang").alias("category"),
+            F.when(F.col("quality") == 0, "unverifiable").otherwise("verified").alias("label_status"), F.array_distinct(F.filter(F.slice(F.split("text", " "), 2, 5), lambda w: F.length(w) > 3)).alias("keywords"),
+        )
+    )
+    out = lookup.find_examples(_requests(spark, sf_dir), rows.select("hash", "keywords", "category", "label_status"), rows.select("hash", "corpus", "alpha_id", "depth"))
+    return out.select("request_id", "rank", "hash", "score", "corpus", "alpha_id", F.col("depth").cast("long").alias("depth"))
 
 
 _REQUESTS_SQL = "q AS (SELECT conv_id || ':' || turn AS request_id, lower(coalesce(text, '')) AS t FROM conversations)"
-
-
-def _lookup_sql() -> str:
-    keys = ", ".join(f"('{n}', {size}, '{k}', {3 if k == n else 2 if len(k) >= 3 else 1})" for n, a, size in _RECIPES for k in [n, *a])
-    return f"""WITH {_REQUESTS_SQL}, k(name, size, word, w) AS (VALUES {keys}),
-s AS (SELECT request_id, name, size, sum(w) AS score FROM q JOIN k ON contains(t, word) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, size DESC, name) AS rank FROM s)
-SELECT request_id, rank::INT AS rank, name, score::INT AS score FROM r WHERE rank <= 2"""
-
-
-def _example_sql() -> str:
-    keys = ", ".join(f"('{h}', {d}, '{k}', {w}, {1.0 if v else 0.8}::DOUBLE)" for h, words, c, v, d in _EXAMPLES if d <= 8 for k, w in [*((x, 2.0) for x in words), *([(c, 1.0)] if c else [])])
-    return f"""WITH {_REQUESTS_SQL}, k(hash, depth, word, w, f) AS (VALUES {keys}),
-s AS (SELECT request_id, hash, depth, sum(w)::DOUBLE * min(f) AS score FROM q JOIN k ON contains(t, word) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, depth, hash) AS rank FROM s)
-SELECT request_id, rank::INT AS rank, hash, score FROM r WHERE rank <= 4"""
+_LOOKUP_SQL = f"""WITH {_REQUESTS_SQL},
+r AS (SELECT string_split(text, ' ')[1] || ' ' || item_id AS name, list_distinct(string_split(text, ' ')) AS aliases, length(text) AS size FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND item_id % 9 <> 4),
+k AS (SELECT name, size, lower(name) AS word, 3 AS w FROM r UNION ALL SELECT name, size, lower(a), CASE WHEN length(a) >= 3 THEN 2 ELSE 1 END FROM (SELECT name, size, unnest(aliases) AS a FROM r)),
+h AS (SELECT DISTINCT request_id, t, word FROM q JOIN (SELECT DISTINCT word FROM k WHERE word <> '') ON contains(t, word)),
+s AS (SELECT request_id, name, size, sum(w) AS score FROM h JOIN k USING (word) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, size DESC, name) AS rank FROM s)
+SELECT request_id, rank::INT AS rank, name, score::INT AS score FROM o WHERE rank <= 2"""
+_EXAMPLES_SQL = f"""WITH {_REQUESTS_SQL},
+d AS (SELECT md5(text) AS hash, source AS corpus, doc_id AS alpha_id, length(text) % 12 AS depth, lang AS category, quality, text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY hash ORDER BY corpus, alpha_id) = 1),
+k AS (
+  SELECT hash, lower(w) AS word, 2 AS weight FROM (SELECT hash, unnest(list_distinct(list_filter(string_split(text, ' ')[2:6], lambda w: length(w) > 3))) AS w FROM f WHERE depth <= 8)
+  UNION ALL SELECT hash, lower(category), 1 FROM f WHERE depth <= 8 AND category <> ''),
+h AS (SELECT DISTINCT request_id, t, word FROM q JOIN (SELECT DISTINCT word FROM k) ON contains(t, word)),
+s AS (SELECT request_id, hash, sum(weight)::DOUBLE AS score FROM h JOIN k USING (word) GROUP BY ALL),
+e AS (SELECT request_id, f.hash, score * CASE WHEN quality = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS score, corpus, alpha_id, depth FROM s JOIN f USING (hash)),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, depth, hash) AS rank FROM e)
+SELECT request_id, rank::INT AS rank, hash, score::DOUBLE AS score, corpus, alpha_id, depth::BIGINT AS depth FROM o WHERE rank <= 4"""
 
 
 _F = f"WITH f AS ({_FORMULAS.format(documents='documents')}), o AS (SELECT doc_id, lang, length(text) AS n, unnest(string_split(text, ' ')) AS op FROM documents)"
@@ -481,7 +495,7 @@ def oracle_sql(training: str) -> dict[str, str]:
         "regime_strategy": _regime_sql(),
         "threshold_strategy": _threshold_sql(),
         "training_report": _report_sql(training),
-        "indicator_lookup": _lookup_sql(),
-        "example_lookup": _example_sql(),
+        "indicator_lookup": _LOOKUP_SQL,
+        "example_lookup": _EXAMPLES_SQL,
         **_CORPUS_SQL,
     }
