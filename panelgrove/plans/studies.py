@@ -10,13 +10,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as f
 from ..functions.shown import shown
-from ..operators import corpus, dataset, hygiene, lookup, profiles, replay, selection
+from ..operators import corpus, dataset, hygiene, lookup, models, profiles, replay, selection
 from ..sources.bars import bars, bars_sql
 from .indicators import indicators
 from .jobs import _fingerprints_sql, _long, _shown
@@ -353,19 +352,74 @@ def model_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(replay.fills(runs, "same_close"))
 
 
-def model_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Return, volatility and gap to the mean of 20 bars, a linear model of the next return, the 20 best against the 20 worst by rank."""
+_FEATURES = ["ret_20", "vol_20", "ma_gap_20"]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = f.Book()
     ret = f.ts_returns(b.close, 1)
     own = {"ret_20": f.ts_returns(b.close, 20), "vol_20": f.ts_std(ret, 20), "ma_gap_20": b.close / f.ts_mean(b.close, 20), "next": f.ts_delay(ret, -1)}
-    rows = b.frame(bars(spark, sf_dir), own)
-    ready = VectorAssembler(inputCols=["ret_20", "vol_20", "ma_gap_20"], outputCol="features").transform(rows.dropna("any", subset=["ret_20", "vol_20", "ma_gap_20"]))
-    border = ready.agg(F.percentile(F.unix_date("date"), F.lit(0.6)).alias("d")).first()["d"] or 0.0
-    model = LinearRegression(labelCol="next", maxIter=50).fit(ready.where(F.col("next").isNotNull() & (F.unix_date("date") < border)))
-    scored = model.transform(ready.where(F.unix_date("date") >= border)).withColumnRenamed("prediction", "signal")
+    rows = b.frame(bars(spark, sf_dir), own).dropna("any", subset=_FEATURES)
+    known = F.lead("date").over(Window.partitionBy("code").orderBy("date"))
+    return rows.withColumns({"period": F.date_trunc("quarter", "date").cast("date"), "known": F.date_trunc("quarter", known).cast("date")})
+
+
+def model_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of every quarter: least squares of the next return on all rows whose next bar lies before it."""
+    rows = _features(spark, sf_dir)
+    fits = models.expanding_fits(rows, _FEATURES, "next", "known", rows.select("period"))
+    shown_ = [F.round(c, 7).alias(c) for c in ("intercept", *[f"b_{x}" for x in _FEATURES])]
+    return fits.select(F.col("period").cast("string").alias("period"), "n", *shown_)
+
+
+def model_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return, volatility and gap to the mean of 20 bars, the quarter's linear model of the next return, the 20 best against the 20 worst by rank."""
+    scored = models.walk_forward(_features(spark, sf_dir), _FEATURES, "next", "known", "period").withColumn("signal", F.round("prediction", 8))
     return _shown(selection.weighted(selection.top_bottom_n(scored, "signal", 20), "rank", "signal").select("code", "date", "signal", F.col("side").cast("long").alias("side"), "weight"))
 
 
+def _model_sql() -> str:
+    """The normal equations by determinants."""
+    w = "(PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    o = "(PARTITION BY code ORDER BY date)"
+    xs, pairs = ("x", "y", "z"), ("xx", "xy", "xz", "yy", "yz", "zz", "xr", "yr", "zr")
+    sums = ", ".join([f"sum({c}) AS s{c}" for c in (*xs, "r")] + [f"sum({p[0]} * {p[1]}) AS s{p}" for p in pairs])
+    cells = ["n", *[f"s{c}" for c in (*xs, "r")], *[f"s{p}" for p in pairs]]
+    run = ", ".join(f"coalesce(sum({c}) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {c}" for c in cells)
+    cov = ", ".join(f"s{p} - s{p[0]} * s{p[1]} / nullif(n, 0) AS c{p}" for p in pairs)
+
+    def det(*m: str) -> str:
+        a, b, c, d, e, f_, g, h, i = m
+        return f"({a} * ({e} * {i} - {f_} * {h}) - {b} * ({d} * {i} - {f_} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    whole = det("cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz")
+    bx = det("cxr", "cxy", "cxz", "cyr", "cyy", "cyz", "czr", "cyz", "czz")
+    by = det("cxx", "cxr", "cxz", "cxy", "cyr", "cyz", "cxz", "czr", "czz")
+    bz = det("cxx", "cxy", "cxr", "cxy", "cyy", "cyr", "cxz", "cyz", "czr")
+    return f"""
+WITH b AS (SELECT code, date, close, close / nullif(lag(close, 20) OVER {o}, 0) - 1 AS x, close / nullif(lag(close) OVER {o}, 0) - 1 AS ret FROM ({bars_sql(duck=True)})),
+t AS (
+  SELECT code, date, x, CASE WHEN count(ret) OVER {w} >= 10 THEN stddev_samp(ret) OVER {w} END AS y, close / nullif(CASE WHEN count(close) OVER {w} >= 10 THEN avg(close) OVER {w} END, 0) AS z,
+         lead(ret) OVER {o} AS r FROM b),
+g AS (SELECT *, date_trunc('quarter', date)::DATE AS period, date_trunc('quarter', lead(date) OVER {o})::DATE AS known FROM t WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+m AS (SELECT known AS period, count(*) AS n, {sums} FROM g WHERE r IS NOT NULL AND known IS NOT NULL GROUP BY 1),
+a AS (SELECT * FROM (SELECT DISTINCT period FROM g) FULL JOIN m USING (period)),
+u AS (SELECT period, {run} FROM a),
+c AS (SELECT *, {cov} FROM u),
+s AS (SELECT *, CASE WHEN n > 4 THEN {bx} / nullif({whole}, 0) END AS bx, CASE WHEN n > 4 THEN {by} / nullif({whole}, 0) END AS by_, CASE WHEN n > 4 THEN {bz} / nullif({whole}, 0) END AS bz FROM c),
+f AS (SELECT period, n, (sr - bx * sx - by_ * sy - bz * sz) / nullif(n, 0) AS b0, bx, by_, bz FROM s WHERE period IN (SELECT period FROM g))
+"""
+
+
+_COEFFICIENTS_SQL = "SELECT CAST(period AS VARCHAR) AS period, CAST(n AS BIGINT) AS n, round(b0, 7) AS intercept, round(bx, 7) AS b_ret_20, round(by_, 7) AS b_vol_20, round(bz, 7) AS b_ma_gap_20 FROM f"
+_STRATEGY_SQL = f"""
+, p AS (SELECT code, date, round(b0 + bx * x + by_ * y + bz * z, 8) AS signal FROM g JOIN f USING (period)),
+e AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal DESC, code) AS d, row_number() OVER (PARTITION BY date ORDER BY signal, code DESC) AS l FROM p WHERE signal IS NOT NULL),
+k AS (SELECT *, CASE WHEN d <= 20 THEN 1 ELSE -1 END AS side FROM e WHERE d <= 20 OR l <= 20),
+q AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal, code DESC) AS place FROM k)
+SELECT code, CAST(date AS VARCHAR) AS date, {shown('signal')} AS signal, side::BIGINT AS side, {shown('place::DOUBLE / sum(place) OVER (PARTITION BY date)')} AS weight FROM q"""
+
+
 # Corpora and look-ups.
 
 _FORMULAS = "SELECT source AS corpus, doc_id AS alpha_id, lang AS kind, md5(text) AS hash, md5(lower(trim(text))) AS new_hash, length(text) AS n FROM {documents}"
@@ -476,13 +530,13 @@ SELECT hash, min(old) AS old, arg_min(status, old) AS status, count(DISTINCT old
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         dynamic_parameters, trading_parameters, label_checks, label_status_counts, intent_checks, lookahead_drift, scale_invariance, reconciliation, regime_strategy, threshold_strategy,
-        training_report, model_trades, model_strategy, corpus_duplicates, corpus_sets, corpus_merged_census, corpus_usage, corpus_kinds, corpus_migration, indicator_lookup, example_lookup,
+        training_report, model_trades, model_coefficients, model_strategy, corpus_duplicates, corpus_sets, corpus_merged_census, corpus_usage, corpus_kinds, corpus_migration, indicator_lookup, example_lookup,
     )
     return {q.__name__: q for q in own}
 
 
 def oracle_sql(training: str) -> dict[str, str]:
-    """SQL of all but the two jobs with a trained model; ``training`` is that of the training rows."""
+    """SQL of all but the job with a logistic model; ``training`` is that of the training rows."""
     return {
         "dynamic_parameters": _dynamic_sql(),
         "trading_parameters": _parameters_sql(),
@@ -495,6 +549,8 @@ def oracle_sql(training: str) -> dict[str, str]:
         "regime_strategy": _regime_sql(),
         "threshold_strategy": _threshold_sql(),
         "training_report": _report_sql(training),
+        "model_coefficients": _model_sql() + _COEFFICIENTS_SQL,
+        "model_strategy": _model_sql() + _STRATEGY_SQL,
         "indicator_lookup": _LOOKUP_SQL,
         "example_lookup": _EXAMPLES_SQL,
         **_CORPUS_SQL,

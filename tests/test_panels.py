@@ -87,7 +87,7 @@ def test_more_tasks_than_codes(spark, panel):
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("y")).collect()]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
