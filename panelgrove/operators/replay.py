@@ -3,21 +3,20 @@
 Bars need (run_id, code, date, open, close, action), ``date`` being a date or a timestamp and codes of any
 type; actions are BUY, SELL and HOLD. An account is
 all in or all out, and the number of shares depends on the cash so far, so fills are folded in time
-order per (run, code); everything else is windows and aggregates.
+order per (run, code): in one expression over the few orders that can fill. Everything else is windows and aggregates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CASH, FEE, PERIODS = 10_000_000.0, 0.00015, 252
 ACTIONS = ("BUY", "SELL", "HOLD")
 _KEY = ("run_id", "code")
-_FILLS = ("action string", "price double", "qty double", "pnl double", "cash double", "shares double")
 
 
 def _w():
@@ -42,11 +41,11 @@ def from_probability(p: Column, buy: float = 0.55, sell: float = 0.45) -> Column
 
 def traded(orders: Iterable[tuple], money: float, shares: float, paid: float, fee: float) -> tuple[list[tuple], float, float, float]:
     """The fills of orders (date, act, price) in time order, and the account after them: cash, shares, and
-    what was paid for these."""
+    what was paid for these. For streams; tables are folded by :func:`fills`."""
     out = []
     for date, act, price in orders:
         if act == "BUY" and not shares:
-            n = float(money // (price * (1 + fee)))
+            n = float(math.floor(money / (price * (1 + fee))))
             if n > 0:
                 money -= n * price * (1 + fee)
                 shares, paid = n, n * price * (1 + fee)
@@ -59,8 +58,10 @@ def traded(orders: Iterable[tuple], money: float, shares: float, paid: float, fe
     return out, money, shares, paid
 
 
-def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: float = FEE) -> DataFrame:
-    """The trades: one row per fill with price, quantity, profit (missing for BUY), and the account after it."""
+def orders_of(bars: DataFrame, fill: str = "next_open") -> DataFrame:
+    """What can fill: (run_id, code, date, act, price) of orders at a price. Of orders of one kind in a row, only the first
+    SELL can, and those BUYs that are cheaper than all before them in the row (the others could not be paid
+    either), so a position held for long is two orders, however many bars wish for it."""
     known = F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce("action", F.lit("null")))))
     bars = bars.withColumn("action", known)
     if fill == "next_open":
@@ -69,19 +70,47 @@ def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: flo
         bars = bars.withColumns({"act": F.col("action"), "price": F.col("close")})
     else:
         raise ValueError(fill)
-    # Only changes of the wish can fill, but for buys that could not be paid; those are few.
     orders = bars.where("act in ('BUY', 'SELL') and price > 0").select(*_KEY, "date", "act", "price")
+    turn = (F.col("act") != F.lag("act", 1, "").over(_w())).cast("long")
+    islands = orders.withColumn("__turn", turn).withColumn("__island", F.sum("__turn").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min("price").over(Window.partitionBy(*_KEY, "__island").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    cheaper = islands.withColumn("__least", least)
+    return cheaper.where("__least is null or (act = 'BUY' and price < __least)").select(*_KEY, "date", "act", "price")
+
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", kind="stable")
-        out, *_ = traded(zip(g["date"], g["act"], g["price"]), cash, 0.0, 0.0, fee)
-        made = pd.DataFrame(out, columns=["date", "action", "price", "qty", "pnl", "cash", "shares"])
-        made.insert(0, "code", g["code"].iloc[0])
-        made.insert(0, "run_id", g["run_id"].iloc[0])
-        return made
+#: Orders that are folded into one array of fills; arrays grow by copying, so long histories are folded in such runs.
+RUN = 128
 
+
+def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: float = FEE) -> DataFrame:
+    """The trades: one row per fill with price, quantity, profit (missing for BUY), and the account after it."""
+    orders = orders_of(bars, fill)
     kinds = dict(orders.dtypes)
-    return orders.groupBy(*_KEY).applyInPandas(fold, ", ".join([f"{c} {kinds[c]}" for c in (*_KEY, "date")] + list(_FILLS)))
+    numbers = "price: double, qty: double, pnl: double, cash: double, shares: double"
+    made = f"array<struct<date: {kinds['date']}, action: string, {numbers}>>"
+    state = f"struct<cash: double, shares: double, paid: double, out: {made}, done: array<{made}>>"
+
+    def step(s: Column, x: Column) -> Column:
+        price, money, held = x["price"], s["cash"], s["shares"]
+        n = F.floor(money / (price * (1 + fee))).cast("double")
+        buys, sells = (x["act"] == "BUY") & (held == 0) & (n > 0), (x["act"] == "SELL") & (held > 0)
+        cost, got = n * price * (1 + fee), held * price * (1 - fee)
+        left = F.when(buys, money - cost).otherwise(money + got)
+        row = F.struct(
+            x["date"].alias("date"), x["act"].alias("action"), price.alias("price"), F.when(buys, n).otherwise(held).alias("qty"), F.when(sells, got - s["paid"]).alias("pnl"),
+            left.alias("cash"), F.when(buys, n).otherwise(0.0).alias("shares"),
+        )
+        after = F.struct(left.alias("cash"), F.when(buys, n).otherwise(0.0).alias("shares"), F.when(buys, cost).otherwise(s["paid"]).alias("paid"), F.concat(s["out"], F.array(row)).alias("out"), s["done"].alias("done"))
+        return F.when(buys | sells, after.cast(state)).otherwise(s)
+
+    def run(s: Column, orders: Column) -> Column:
+        end = F.aggregate(orders, s, step)
+        return F.struct(end["cash"].alias("cash"), end["shares"].alias("shares"), end["paid"].alias("paid"), F.array().cast(made).alias("out"), F.concat(end["done"], F.array(end["out"])).alias("done")).cast(state)
+
+    start = F.struct(F.lit(cash).alias("cash"), F.lit(0.0).alias("shares"), F.lit(0.0).alias("paid"), F.array().cast(made).alias("out"), F.array().cast(f"array<{made}>").alias("done")).cast(state)
+    each = orders.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("date", "act", "price"))).alias("o"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("o") - 1) / RUN)), lambda i: F.slice(F.col("o"), (i * RUN + 1).cast("int"), RUN))
+    return each.select(*_KEY, F.inline(F.flatten(F.aggregate(runs, start, run)["done"])))
 
 
 def equity(bars: DataFrame, trades: DataFrame, cash: float = CASH) -> DataFrame:

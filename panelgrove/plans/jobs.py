@@ -11,6 +11,7 @@ from ..functions import factors as f
 from ..functions.shown import shown
 from ..operators import corpus, dataset, hygiene, profiles, replay, selection
 from ..sources.bars import bars, bars_sql
+from ..sources.written import written
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def replay_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
-    trades = replay.fills(runs)
+    trades = written(replay.fills(runs), "trades")  # read for the curve and for the counts
     return _shown(replay.metrics(replay.equity(runs, trades), trades))
 
 
