@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import factors as f
 from ..functions.panels import numbered
 from ..functions.shown import shown
+from ..operators import ingest
 from .indicators import indicators
 
 #: Rows of a chunk of a long history. Its halo is as deep as the windows; chunks far above that waste little.
@@ -87,9 +88,35 @@ def _wide_sql() -> str:
     return b.sql(_years(True), _across(b), ["code", "CAST(date AS VARCHAR) AS date"], shown)
 
 
+def _lines(duck: bool) -> str:
+    """Raw bars as they may come: a line a sale, with several a day, reversed ranges and negative volumes."""
+    return """
+SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS close, CAST(l_extendedprice AS DOUBLE) AS high,
+       CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) + CASE WHEN l_partkey % 50 = 0 THEN 1e6 ELSE 0 END AS low, CAST(l_quantity AS DOUBLE) - 2 AS volume
+FROM lineitem WHERE l_quantity > 0"""
+
+
+def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the panel and of each reason for rejection by code."""
+    text = _lines(False).replace("FROM lineitem", "FROM {lineitem}")
+    panel, rejects = ingest.gate(spark.sql(text, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    good = panel.groupBy("code").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")).withColumn("reason", F.lit("kept"))
+    bad = rejects.groupBy("code", "reason").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("volume")).alias("volume"))
+    return good.unionByName(bad)
+
+
+def _gate_sql() -> str:
+    return f"""
+WITH r AS ({_lines(True)}),
+j AS (SELECT *, CASE WHEN code IS NULL OR date IS NULL THEN 'no key' WHEN high < low THEN 'high below low' WHEN high <= 0 THEN 'high not positive' WHEN low <= 0 THEN 'low not positive' WHEN close <= 0 THEN 'close not positive' WHEN volume < 0 THEN 'negative volume' END AS reason FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY code, date ORDER BY close, high, low, volume) AS i FROM j WHERE reason IS NULL),
+a AS (SELECT code, volume, CASE WHEN i = 1 THEN 'kept' ELSE 'repeated key' END AS reason FROM k UNION ALL SELECT code, volume, reason FROM j WHERE reason IS NOT NULL)
+SELECT code, reason, count(*) AS n, sum(volume) AS volume FROM a GROUP BY 1, 2"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"long_histories": long_histories, "wide_dates": wide_dates}
+    return {"long_histories": long_histories, "wide_dates": wide_dates, "ingest_gate": ingest_gate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"long_histories": _long_sql(), "wide_dates": _wide_sql()}
+    return {"long_histories": _long_sql(), "wide_dates": _wide_sql(), "ingest_gate": _gate_sql()}

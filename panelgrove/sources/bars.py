@@ -40,12 +40,25 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
 
 
 def read_csv_folder(spark: SparkSession, path: str, codes: list[str] | None = None) -> DataFrame:
-    """Bars from a folder with one CSV a code; the file's stem is the code, kept as a string."""
-    schema = "datetime TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
-    out = spark.read.schema(schema).csv(path, header=True, enforceSchema=False).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.csv", 1))
+    """Bars from a folder with one CSV a code; the file's stem is the code, kept as a string. Each file's header says which
+    of the columns it has, in any order; the others are null, and further ones are not read. Lines are read where they lie
+    and large files are split: only headers, a line a file, are shared. Values that are no numbers or times are null."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).withColumn("code", F.regexp_extract("file", r"(.*)\.csv", 1))
+    if codes is not None:
+        lines = lines.filter(F.col("code").isin(list(codes)))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '[\\r"\ufeff]', "")))
+    lines = lines.withColumn("cells", cells).where(F.trim("value") != "")
+    header = F.array_contains("cells", "datetime")
+    heads = lines.where(header).groupBy("file").agg(F.min("cells").alias("names"))
+    rows = lines.where(~header).join(heads, "file")
+
+    def cell(name: str, kind: str):
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.try_element_at("cells", F.when(at > 0, at))).try_cast(kind)
+
+    out = rows.select("code", cell("datetime", "timestamp").alias("datetime"), *[cell(c, "double").alias(c) for c in ("open", "high", "low", "close", "volume")])
     # A missing number is null, never NaN: sums and means would turn NaN.
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("open", "high", "low", "close", "volume")})
-    return out.filter(F.col("code").isin(list(codes))) if codes is not None else out
+    return out.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("open", "high", "low", "close", "volume")})
 
 
 def write_split(rows: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -24,3 +24,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(rows: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    """A result table at ``path``, whole or not at all: it is written beside it and renamed when every task has ended well. An
+    existing path is refused; a failure leaves nothing behind."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged"))
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        raise FileExistsError(path)
+    try:
+        rows.write.format(kind).options(**options).save(staged.toString())
+        if not files.rename(staged, target):
+            raise OSError(f"could not rename to {path}")
+    finally:
+        files.delete(staged, True)
