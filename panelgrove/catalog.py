@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import factors as f
 from .functions.shown import shown
-from .plans import alphas, indicators, jobs, panels, studies
+from .plans import alphas, indicators, jobs, panels, reconcile, studies
 from .sources.bars import bars, bars_sql
 
 def _elementwise(b: f.Book) -> dict[str, f.Ex]:
@@ -86,7 +86,7 @@ def _books() -> dict[str, Callable[[f.Book], dict[str, f.Ex]]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _book_query(make) for n, make in _books().items()} | jobs.queries() | studies.queries() | panels.queries()
+    return {n: _book_query(make) for n, make in _books().items()} | jobs.queries() | studies.queries() | panels.queries() | {"indicator_statuses": reconcile.indicator_statuses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -122,8 +122,9 @@ def _signals() -> tuple[f.Book, dict[str, f.Ex]]:
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals as rows; checks read them several times, so the factors are written once."""
     b, own = _signals()
-    wide = b.frame(bars(spark, sf_dir), own, ["code", "date", "sector"])
+    wide = written(b.frame(bars(spark, sf_dir), own, ["code", "date", "sector"]), "signals")
     return wide.select("code", "date", "sector", F.explode(F.create_map(*[x for n in own for x in (F.lit(n), F.col(n))])).alias("factor_id", "value"))
 
 
@@ -135,19 +136,22 @@ def _long_sql() -> str:
 
 def hygiene_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = hygiene.checks(_long(spark, sf_dir))
-    return _shown(made.select("factor_id", "valid_ratio", "n_valid", "std", "date_std", "mode_share", "undecidable", "sparse", "constant", "no_cross_section", "degenerate", "bounded", "rank_range"))
+    return _shown(made.select("factor_id", "valid_ratio", "n_valid", "inf_ratio", "infinite", "std", "date_std", "mode_share", "undecidable", "sparse", "constant", "no_cross_section", "degenerate", "bounded", "rank_range"))
 
 
 def hygiene_neutrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(hygiene.neutrality(_long(spark, sf_dir).where("value is not null"), ["date", "sector"]))
+    """By date and sector, and by date alone."""
+    rows = _long(spark, sf_dir).where("value is not null")
+    both = [hygiene.neutrality(rows, by).withColumn("level", F.lit("_".join(by))) for by in (["date", "sector"], ["date"])]
+    return _shown(both[0].unionByName(both[1]))
 
 
 def _checks_sql() -> str:
     return _long_sql() + f"""
-, w AS (SELECT factor_id, count(value)::DOUBLE / count(*) AS valid_ratio, count(value) AS n_valid, stddev_samp(value) AS std, avg(abs(value)) AS ma, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1),
+, w AS (SELECT factor_id, count(value)::DOUBLE / count(*) AS valid_ratio, count(value) AS n_valid, coalesce(avg(CASE WHEN abs(value) = 'inf'::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE value IS NOT NULL), 0) AS inf_ratio, stddev_samp(value) AS std, avg(abs(value)) AS ma, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1),
 p AS (SELECT factor_id, avg(s) AS date_std FROM (SELECT factor_id, date, stddev_samp(value) AS s FROM x GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT factor_id, max(c)::DOUBLE / sum(c) AS mode_share FROM (SELECT factor_id, round(value, 10) AS r, count(*) AS c FROM x WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
-SELECT factor_id, {shown('valid_ratio')} AS valid_ratio, n_valid, {shown('std')} AS std, {shown('date_std')} AS date_std, {shown('mode_share')} AS mode_share, n_valid < 50 AS undecidable,
+SELECT factor_id, {shown('valid_ratio')} AS valid_ratio, n_valid, {shown('inf_ratio')} AS inf_ratio, inf_ratio > 0.01 AS infinite, {shown('std')} AS std, {shown('date_std')} AS date_std, {shown('mode_share')} AS mode_share, n_valid < 50 AS undecidable,
        valid_ratio < 0.3 AS sparse, std < 1e-9 * (1 + ma) AS constant, date_std < greatest(1e-12, 1e-6 * std) AS no_cross_section, mode_share > 0.9 AS degenerate,
        greatest(abs(lo), abs(hi)) < 1e6 AS bounded, lo >= -1 AND hi <= 1 AND (lo >= 0 OR hi <= 0) AS rank_range
 FROM w JOIN p USING (factor_id) JOIN m USING (factor_id)"""
@@ -155,16 +159,17 @@ FROM w JOIN p USING (factor_id) JOIN m USING (factor_id)"""
 
 def _neutrality_sql() -> str:
     return _long_sql() + f"""
-, g AS (SELECT factor_id, date, sector, avg(value) AS m, sum(abs(value)) AS s, count(value) AS n FROM x WHERE value IS NOT NULL GROUP BY 1, 2, 3),
-r AS (SELECT factor_id, avg(abs(m)) / (sum(s) / sum(n)) AS ratio FROM g GROUP BY 1)
-SELECT factor_id, {shown('ratio')} AS ratio, ratio < 0.01 AS neutral FROM r"""
+, g AS (SELECT factor_id, 'date_sector' AS level, avg(value) AS m, sum(abs(value)) AS s, count(value) AS n FROM x WHERE value IS NOT NULL GROUP BY factor_id, date, sector
+  UNION ALL SELECT factor_id, 'date', avg(value), sum(abs(value)), count(value) FROM x WHERE value IS NOT NULL GROUP BY factor_id, date),
+r AS (SELECT factor_id, level, avg(abs(m)) / (sum(s) / sum(n)) AS ratio FROM g GROUP BY 1, 2)
+SELECT factor_id, level, {shown('ratio')} AS ratio, ratio < 0.01 AS neutral FROM r"""
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir)
-    b = f.Book()
+    b, own = _signals()
     refs = hygiene.references(b)
-    made = hygiene.fingerprint(_long(spark, sf_dir).where("value is not null").drop("sector"), b.frame(rows, refs))
+    wide = written(b.frame(bars(spark, sf_dir), own | refs), "signals")
+    made = hygiene.fingerprint_wide(wide, list(own))
     return made.select("factor_id", *[F.round(n, 6).alias(n) for n in hygiene.REFERENCES], F.col("best.name").alias("best"))
 
 
