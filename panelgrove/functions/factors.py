@@ -474,8 +474,9 @@ def ts_corr(x, y, w):
 
 
 def ts_cov(x, y, w):
-    """Covariance of such rows; rounded to 12 digits for the same reason."""
-    return _pair(x, y, w, "round(covar_samp({u}, {v})@, 12)")
+    """Covariance of such rows; rounded to 12 digits of what it could be at most, for the same reason."""
+    size = "(stddev_samp({u})@ * stddev_samp({v})@)"
+    return _pair(x, y, w, f"CASE WHEN {size} > 0 THEN round(covar_samp({{u}}, {{v}})@ / {size}, 12) * {size} ELSE CAST(0 AS DOUBLE) END")
 
 
 # Per date, and per date and sector.

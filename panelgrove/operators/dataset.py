@@ -75,6 +75,18 @@ def dataset(bars: DataFrame, horizon: int = 5, at: str | None = None) -> DataFra
     return with_split(made.dropna("any", subset=[c for c in made.columns if c.startswith("feat_")] + ["target"]), at)
 
 
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows without a missing value in any column."""
+    return rows.dropna("any")
+
+
+def between(rows: DataFrame, start=None, end=None, codes: list | None = None) -> DataFrame:
+    """Rows from ``start`` on and before ``end``, of the codes of a list."""
+    out = rows if start is None else rows.where(F.col("date") >= F.lit(start))
+    out = out if end is None else out.where(F.col("date") < F.lit(end))
+    return out if codes is None else out.where(F.col("code").isin(list(codes)))
+
+
 def matrix(made: DataFrame) -> DataFrame:
     """``made`` with its ``feat_`` columns, by name, as one vector ``features``."""
     return VectorAssembler(inputCols=sorted(c for c in made.columns if c.startswith("feat_")), outputCol="features").transform(made)

@@ -34,6 +34,15 @@ def dynamic_parameters(turns: DataFrame, reserved: tuple[str, ...] = ()) -> Data
     return rows.groupBy("user", F.col("p.parameter_name").alias("parameter_name")).agg(F.max_by("p", order).alias("record"), F.min("turn").alias("first_turn"))
 
 
+def new_names(turns: DataFrame, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """Per user and turn that brought any: the names of parameters that no earlier turn had, in the turn's order."""
+    rows = turns.where(F.coalesce("is_relevant", F.lit(True))).select("user", "turn", F.posexplode("new_parameters").alias("pos", "p"))
+    rows = rows.select("user", "turn", "pos", F.col("p.parameter_name").alias("name")).where(F.col("name").isNotNull() & ~F.col("name").isin(*reserved))
+    first = rows.groupBy("user", "name").agg(F.min(F.struct("turn", "pos")).alias("at"))
+    each = first.groupBy("user", F.col("at.turn").alias("turn")).agg(F.array_sort(F.collect_list(F.struct("at.pos", "name"))).alias("n"))
+    return each.select("user", "turn", F.col("n.name").alias("names"))
+
+
 def clamped(x: Column, low: float, high: float) -> Column:
     """Linear from low (at 0) to high (at 1)."""
     return F.lit(low) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * (high - low)

@@ -43,6 +43,11 @@ def dynamic_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user", "parameter_name", "first_turn", F.col("record.value").alias("value"), F.col("record.confidence").alias("confidence"))
 
 
+def new_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profiles.new_names(_turns(spark, sf_dir), ("p3",))
+    return out.select("user", F.col("turn").cast("long").alias("turn"), F.array_join("names", ",").alias("names"))
+
+
 def trading_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir)
     merged = profiles.merged(turns, _SCALARS, ("excluded_sectors",))
@@ -529,7 +534,7 @@ SELECT hash, min(old) AS old, arg_min(status, old) AS status, count(DISTINCT old
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        dynamic_parameters, trading_parameters, label_checks, label_status_counts, intent_checks, lookahead_drift, scale_invariance, reconciliation, regime_strategy, threshold_strategy,
+        dynamic_parameters, new_parameters, trading_parameters, label_checks, label_status_counts, intent_checks, lookahead_drift, scale_invariance, reconciliation, regime_strategy, threshold_strategy,
         training_report, model_trades, model_coefficients, model_strategy, corpus_duplicates, corpus_sets, corpus_merged_census, corpus_usage, corpus_kinds, corpus_migration, indicator_lookup, example_lookup,
     )
     return {q.__name__: q for q in own}
@@ -539,6 +544,7 @@ def oracle_sql(training: str) -> dict[str, str]:
     """SQL of all but the job with a logistic model; ``training`` is that of the training rows."""
     return {
         "dynamic_parameters": _dynamic_sql(),
+        "new_parameters": f"{_turns_sql()}, {_DYNAMIC} SELECT u AS \"user\", first_turn::BIGINT AS turn, string_agg(parameter, ',' ORDER BY parameter) AS names FROM dyn GROUP BY 1, 2",
         "trading_parameters": _parameters_sql(),
         "label_checks": _labels_sql() + _LABEL_CHECKS_SQL,
         "label_status_counts": _labels_sql() + _LABEL_COUNTS_SQL,
