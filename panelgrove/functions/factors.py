@@ -469,8 +469,9 @@ def _pair(x: Ex, y: Ex, w, agg: str) -> Ex:
 
 def ts_corr(x, y, w):
     """Correlation of the rows where both have a value; rounded to 10 digits, so that equal
-    correlations stay equal."""
-    return _pair(x, y, w, "round(covar_samp({u}, {v})@ / nullif(stddev_samp({u})@ * stddev_samp({v})@, 0), 10)")
+    correlations stay equal. Missing where a side varies by no more than rounding does."""
+    varies = " AND ".join(f"stddev_samp({{{c}}})@ > 1e-12 * abs(avg({{{c}}})@)" for c in "uv")
+    return _pair(x, y, w, f"CASE WHEN {varies} THEN round(covar_samp({{u}}, {{v}})@ / (stddev_samp({{u}})@ * stddev_samp({{v}})@), 10) END")
 
 
 def ts_cov(x, y, w):
