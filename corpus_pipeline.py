@@ -22,7 +22,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language (no text, or no letter in it)."""
+    """Drop documents without a recognisable language (no text, or no letter in it); rows are judged one by one, whole,
+    whatever their length, and repeated ones alike. Empty tables give empty ones."""
     model = language.learn(docs)
     if model is None:  # nothing to learn from: only texts without a letter go
         return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
@@ -32,20 +33,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group. Rows without an id stay; of rows that share an id one
-    stays."""
+    """Keep one document of each group. Rows without an id stay. Of rows that share a kept id one of each
+    different text stays, so no text is lost; rows that differ in other columns only count as repeated. Empty
+    tables give empty ones, texts are compared whole, of equal texts the smallest id stays."""
     groups = near_duplicates.near_duplicates(docs)
     gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.limit(1).count():
-        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
     return left
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of test items out; drop documents that are mostly such passages."""
+    """Cut passages of test items out; drop documents that are mostly such passages. Null texts stay null, rows are
+    judged one by one; without items, or without documents, nothing changes."""
     names = docs.columns
     row = docs.select(F.struct(*names).alias("__row"), "text")
     found = decontamination.find_contamination(row, table(spark, sf_dir, "benchmark"))
@@ -55,7 +58,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the kind's name in place of each span found."""
+    """Put the kind's name in place of each span found; null texts stay null, all rows stay, repeated ones alike."""
     names = docs.columns
     row = docs.select(F.struct(*names).alias("__row"), "text")
     found = pii.redact(pii.find_spans(row, pii.learn(docs.select("text"))))
@@ -76,7 +79,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: The stages learn models and hash; tests hold them against brute force instead.
+#: The stages learn models and hash; tests hold each against small cases and the operators against brute force.
 ORACLE_SQL = None
 
 
