@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     own = jobs.oracle_sql()
-    return {n: _book_sql(make) for n, make in _books().items()} | own | studies.oracle_sql(own["training_rows"]) | panels.oracle_sql()
+    return {n: _book_sql(make) for n, make in _books().items()} | own | studies.oracle_sql(own["training_rows"]) | panels.oracle_sql(own["replay_metrics"])

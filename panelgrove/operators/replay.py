@@ -92,7 +92,8 @@ def fills(bars: DataFrame, fill: str = "next_open", cash: float = CASH, fee: flo
 
     def step(s: Column, x: Column) -> Column:
         price, money, held = x["price"], s["cash"], s["shares"]
-        n = F.floor(money / (price * (1 + fee))).cast("double")
+        n = money / (price * (1 + fee))
+        n = F.when(n < 2.0**53, F.floor(n).cast("double")).otherwise(n)  # larger ones are whole
         buys, sells = (x["act"] == "BUY") & (held == 0) & (n > 0), (x["act"] == "SELL") & (held > 0)
         cost, got = n * price * (1 + fee), held * price * (1 - fee)
         left = F.when(buys, money - cost).otherwise(money + got)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import factors as f
 from ..functions.panels import numbered
 from ..functions.shown import shown
-from ..operators import ingest
+from ..operators import ingest, replay
+from ..sources.bars import bars_sql
+from ..sources.written import written
 from .indicators import indicators
 
 #: Rows of a chunk of a long history. Its halo is as deep as the windows; chunks far above that waste little.
@@ -22,8 +24,8 @@ def _minutes(duck: bool) -> str:
     first, last, pack = ("arg_min", "arg_max", "row") if duck else ("min_by", "max_by", "struct")
     key = f"{pack}(ts, event_id)"
     return f"""
-SELECT event_type AS code, date_trunc('minute', ts) AS date, {first}(value, {key}) AS open, {last}(value, {key}) AS close, max(value) AS high, min(value) AS low,
-       CAST(count(*) AS DOUBLE) AS volume, sum(value) / count(*) AS vwap, CAST(NULL AS VARCHAR(9)) AS sector, {last}(value, {key}) * 1000 AS cap
+SELECT event_type AS code, date_trunc('minute', ts) AS date, {first}(value + 1000, {key}) AS open, {last}(value + 1000, {key}) AS close, max(value + 1000) AS high, min(value + 1000) AS low,
+       CAST(count(*) AS DOUBLE) AS volume, sum(value + 1000) / count(*) AS vwap, CAST(NULL AS VARCHAR(9)) AS sector, {last}(value, {key}) * 1000 AS cap
 FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2"""
 
 
@@ -88,6 +90,27 @@ def _wide_sql() -> str:
     return b.sql(_years(True), _across(b), ["code", "CAST(date AS VARCHAR) AS date"], shown)
 
 
+def minute_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossing means against holding on minute bars: the signal in chunks, the trades folded over the orders that can fill."""
+    b = f.Book()
+    rows = b.frame(minute_bars(spark, sf_dir), {"short": f.ts_mean(b.close, 3), "long": f.ts_mean(b.close, 6)}, ["code", "date", "seq", "open", "close"], chunk=CHUNK)
+    ready = F.col("seq") >= 6
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("short", "long")})  # equal means are equal in any engine
+    cross = F.when(ready & (F.col("short") > F.col("long")), "BUY").when(ready & (F.col("short") < F.col("long")), "SELL").otherwise("HOLD")
+    rows = rows.select("code", "date", "open", "close", F.explode(F.array(*[F.struct(F.lit(n).alias("run_id"), a.alias("action")) for n, a in (("ma_cross", cross), ("hold", F.when(F.col("seq") == 1, "BUY").otherwise("HOLD")))])).alias("r"))
+    runs = written(rows.select("code", "date", "open", "close", "r.*"), "runs")
+    trades = written(replay.fills(runs), "trades")
+    made = replay.metrics(replay.equity(runs, trades), trades)
+    return made.select("run_id", "code", *[F.expr(shown(c)).alias(c) for c in ("total_return", "mdd", "sharpe")], "n_trades", F.expr(shown("win_rate")).alias("win_rate"))
+
+
+def _replay_sql(monthly: str) -> str:
+    """The replay of monthly bars over minute bars instead."""
+    minutes = f"SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS seq FROM ({_minutes(True)})"
+    assert bars_sql(duck=True) in monthly
+    return monthly.replace(bars_sql(duck=True), minutes).replace("avg(close) OVER s", "round(avg(close) OVER s, 9)").replace("avg(close) OVER l", "round(avg(close) OVER l, 9)")
+
+
 def _lines(duck: bool) -> str:
     """Raw bars as they may come: a line a sale, with several a day, reversed ranges and negative volumes."""
     return """
@@ -115,8 +138,8 @@ SELECT code, reason, count(*) AS n, sum(volume) AS volume FROM a GROUP BY 1, 2""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"long_histories": long_histories, "wide_dates": wide_dates, "ingest_gate": ingest_gate}
+    return {"long_histories": long_histories, "wide_dates": wide_dates, "minute_replay": minute_replay, "ingest_gate": ingest_gate}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"long_histories": _long_sql(), "wide_dates": _wide_sql(), "ingest_gate": _gate_sql()}
+def oracle_sql(replay_metrics: str) -> dict[str, str]:
+    return {"minute_replay": _replay_sql(replay_metrics), "long_histories": _long_sql(), "wide_dates": _wide_sql(), "ingest_gate": _gate_sql()}
