@@ -8,9 +8,12 @@ on the original vectors. How far each tree has been seen (every row that shares
 has been met) gives the probability that a vector as near as the k-th best would have been missed by
 all trees; a query is done where that is at most ``1 - RECALL``.
 
-The others ascend to the root, the empty prefix: they meet all rows, in blocks of at most
-``QUERY_BLOCK`` queries and ``ROW_BLOCK`` rows, and so are exact. Clustered queries are done in
-the trees; among vectors without near neighbours (cosines around 0.5 in 64 dimensions) no prefix is long
+The others ascend, in all trees at once, to the longest prefix at which that probability suffices for a vector as near as
+their k-th best so far: its length follows from the angle, and every row that shares such a prefix in any tree is scored, a
+prefix's rows and queries in blocks. Prefixes so short that all trees together would hold more than ``SHARE`` of the
+rows are no saving: those queries go to the root, the empty prefix, meet all rows in blocks of at most ``QUERY_BLOCK`` queries
+and ``ROW_BLOCK`` rows, and so are exact. ``reached`` says which of the three it was. Clustered queries are done in
+the trees; among vectors without near neighbours (cosines below 0.5 in 64 dimensions) no prefix is long
 enough to tell them from the rest at this recall, and all go to the root: work in proportion to
 queries times rows, data moved in proportion to that divided by the block sizes.
 
@@ -38,6 +41,9 @@ from .common import settle, short_batches, table
 
 TREES, BITS, REACH, RECALL = 16, 48, 16, 0.99
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Rows of all trees' prefixes together, as a share of all rows, up to which a query ascends to a prefix; prefix lengths
+#: that it may ascend to.
+SHARE, LEVELS = 0.5, (5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 40, 48)
 #: Queries are broadcast if all together hold so many numbers at most (32 MB), and shuffled otherwise.
 BROADCAST_NUMBERS = 4_000_000
 #: Rows of a sorted order that are looked at together.
@@ -179,6 +185,19 @@ def _packed(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     return settle(dealt.mapInArrow(run, "dim long, part long, ids binary, data binary"), "blocks"), parts
 
 
+def _best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k best rows, and what may tie with the last."""
+    close = CLOSE * np.linalg.norm(x, axis=1).max()
+    for at in range(0, len(q), 256):
+        part, who = q[at : at + 256], own[at : at + 256]
+        s = part @ x.T
+        s[who[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(part), -np.inf)
+        i, j = np.nonzero((s >= (least - close * np.linalg.norm(part, axis=1))[:, None]) & (s > -np.inf))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array(ids[j]), pa.array(scores(x[j], part[i]))], names=["id", "vec_id", "score"])
+
+
 def _all_rows(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Each query's k best rows of each block of rows (and what may tie with the last)."""
     blocks, n = _packed(rows, ROW_BLOCK)
@@ -191,26 +210,59 @@ def _all_rows(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             for r in range(b.num_rows):
                 ids, own = (np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in ("ids", "own"))
                 x, q = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, b.column("dim")[r].as_py()) for c in ("data", "q"))
-                close = CLOSE * np.linalg.norm(x, axis=1).max()
-                for at in range(0, len(q), 256):
-                    part, who = q[at : at + 256], own[at : at + 256]
-                    s = part @ x.T
-                    s[who[:, None] == ids[None, :]] = -np.inf
-                    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(part), -np.inf)
-                    i, j = np.nonzero((s >= (least - close * np.linalg.norm(part, axis=1))[:, None]) & (s > -np.inf))
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array(ids[j]), pa.array(scores(x[j], part[i]))], names=["id", "vec_id", "score"])
+                yield from _best_of(x, ids, q, own, k)
 
     return spread.join(whole, ["dim", "part", "asked"]).mapInArrow(run, "id long, vec_id long, score double")
 
 
+def _levels(best: DataFrame, asked: DataFrame, top: float, k: int) -> DataFrame:
+    """(id, level): the prefix length that each query has to ascend to; 0 is the root."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    kth = best.where(F.col("rank") == k).select("id", "score")
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / (norm * top)))
+    # A bit agrees with probability p; all trees miss a row with probability (1 - p^length)^TREES.
+    p, enough = 1 - F.acos(cosine) / np.pi, float(np.log(1 - (1 - RECALL) ** (1 / TREES)))
+    length = F.when(p >= 1, float(BITS)).otherwise(F.lit(enough) / F.log(p))
+    fits = [lv for lv in LEVELS if TREES / 2**lv <= SHARE]
+    level = F.coalesce(F.greatest(*[F.when(length >= lv, lv) for lv in fits]), F.lit(0))
+    return asked.join(kth, "id", "left").select("id", "v", F.when(F.col("score").isNull(), 0).otherwise(level).alias("level"))
+
+
+def _by_prefix(rows: DataFrame, asked: DataFrame, top: float, k: int) -> DataFrame:
+    """Each query's k best (and what may tie) of every block of rows that share a prefix of its ``level`` bits with it."""
+    key = ["tree", "level", "prefix"]
+    used = sorted(r["level"] for r in asked.select("level").distinct().collect())
+
+    def cut(entries: DataFrame, level) -> DataFrame:
+        at = entries.withColumn("level", level)
+        return at.select(*key[:2], F.expr(f"shiftright(hash, {BITS} - level)").alias("prefix"), "id")
+
+    wanted = settle(cut(_hashed(asked.select("id", "v"), top, True).join(asked.select("id", F.col("level").alias("lv")), "id"), F.col("lv")), "wanted")
+    buckets = wanted.select(*key).distinct()
+    met = settle(cut(_hashed(rows, top, False), F.explode(F.array(*[F.lit(x) for x in used]))).join(buckets, key, "left_semi"), "prefixes")
+
+    def blocks(entries: DataFrame, vectors: DataFrame, size: int, ids: str, data: str) -> DataFrame:
+        parts = entries.groupBy(*key).agg(F.ceil(F.count("*") / size).alias("parts"))
+        dealt = entries.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).join(vectors.select("id", "v"), "id")
+        return dealt.groupBy(*key, "part").agg(F.collect_list("id").alias(ids), F.flatten(F.collect_list("v")).alias(data)).drop("part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, own, x, q = (b.column(c)[r].values.to_numpy() for c in ("ids", "own", "data", "q"))
+                yield from _best_of(x.reshape(len(ids), -1), ids, q.reshape(len(own), -1), own, k)
+
+    both = blocks(met, rows, ROW_BLOCK, "ids", "data").join(blocks(wanted, asked, QUERY_BLOCK, "own", "q"), key)
+    return both.mapInArrow(run, "id long, vec_id long, score double").distinct()
+
+
 def _first(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of ``vectors`` found for each row of
+    """(query_id, rank, vec_id, score, reached): the k nearest of ``vectors`` found for each row of
     ``queries``; both hold ``vec_id`` and ``embedding``."""
     short_batches(vectors.sparkSession)
     v = F.col(embedding).cast("array<double>")
@@ -230,10 +282,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     # A bit agrees with probability 1 - angle / pi; the smallest number stands for a certain hit.
     missed = F.sum(F.log(F.greatest(F.lit(1e-300), 1 - F.pow(1 - F.acos(cosine) / np.pi, F.col("seen")))))
     done = seen.groupBy("id").agg(missed.alias("missed")).where(F.col("missed") <= F.lit(float(np.log(1 - RECALL)))).select("id")
-    left = settle(asked.join(done, "id", "left_anti"), "left")
-    if left.limit(1).count():
-        best = _first(best.join(left.select("id"), "id", "left_anti").select("id", "vec_id", "score").unionByName(_all_rows(rows, left, k)), k)
-    return best.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
+    left = settle(_levels(best, asked.join(done, "id", "left_anti"), top, k), "left")
+    best = best.select("id", "vec_id", "score", F.lit("descent").alias("reached"))
+    for name, part, find in (("ascent", left.where("level > 0"), lambda x: _by_prefix(rows, x, top, k)), ("root", left.where("level = 0"), lambda x: _all_rows(rows, x.select("id", "v"), k))):
+        if part.limit(1).count():
+            # An ascent adds to what the descent met; the root meets it again.
+            before = best.join(part.select("id"), "id", "left_semi") if name == "ascent" else best.limit(0)
+            found = before.select("id", "vec_id", "score").unionByName(find(part)).distinct()
+            best = best.join(part.select("id"), "id", "left_anti").unionByName(found.withColumn("reached", F.lit(name)))
+    return _first(best, k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score", "reached")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
