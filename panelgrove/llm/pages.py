@@ -53,13 +53,17 @@ ENDS = {
 TAG_POINTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "blockquote": 1.0, "td": 1.0, "ul": -5.0, "ol": -5.0, "dl": -5.0, "table": -3.0, "body": -10.0, "html": -20.0}
 GOOD_NAMES = frozenset("article articlebody blog body content entry main post story text".split())
 BAD_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs byline-share captcha comment comments commentlist consent cookie cookies "
+    "ad adbox adbanner adblock adcontainer ads adsbygoogle adslot adspace adunit adwrap adwrapper advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs byline-share captcha comment comments commentlist consent cookie cookies "
     "copyright disqus gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall "
     "popup privacy promo promoted promotion recommended register related reply replies respond rss search share sharing shoutbox sidebar signin signup skip social "
-    "sponsor sponsored subscribe subscription taboola tags toolbar tracking warning widget widgets alert".split()
+    "sponsor sponsored subscribe subscription taboola tags toolbar topnav tracking warning widget widgets alert disclaimer mainmenu sidenav submenu".split()
 )
 #: Names that only say so of a part that has no good name.
 WEAK_NAMES = frozenset("aside bottom foot footer head header infobar meta side topbar utility".split())
+#: The same inside longer words, as in names without a hyphen.
+BAD_PARTS = re.compile("comment(?!a)|sidebar|cookie|advert|newsletter|breadcrumb|disqus|sponsor")
+#: Words about the layout of a page or part, not about what it holds.
+LAYOUT = re.compile(r"(?:has|with|no|without|is|layout|template|one|two|three)[-_].*|.*(?:sidebar|menu|nav|comments?)[-_]?(?:left|right|none|off|open|closed|both|full|visible|hidden)")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Containers whose own names are never held against them.
 SPARED = frozenset("html body article main".split())
@@ -100,10 +104,10 @@ class Node:
         for m in _ATTRIBUTE.finditer(attributes):
             kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if kind in ("class", "id"):
-                found = [w for word in value.split() if not re.match(r"(?i)(has|with|no|without|is)[-_]", word) for w in (_names(word) | {word.lower()})]
-                good, bad = any(w in GOOD_NAMES for w in found), any(w in BAD_NAMES for w in found)
+                found = [w for word in value.split() if not LAYOUT.fullmatch(word.lower()) for w in (_names(word) | {word.lower()})]
+                good, bad = any(w in GOOD_NAMES for w in found), any(w in BAD_NAMES or BAD_PARTS.search(w) for w in found)
                 bad = bad or (not good and any(w in WEAK_NAMES for w in found))
-                if bad and self.tag not in SPARED or bad and self.tag == "article" and any(w in ("comment", "comments", "reply") for w in found):
+                if bad and self.tag not in SPARED or bad and self.tag == "article" and any("comment" in w or w == "reply" for w in found):
                     self.bad = self.bad or believe
                     self.weight -= 25
                 elif good:

@@ -33,6 +33,8 @@ COMMENTS = "".join(
         ("<p><b>" + P[0] + "<br><p>" + P[1] + "<p>" + P[2] + "<i><p>" + P[3], WHOLE),
         (f"<article><h1>Harbour news</h1><header><p>By a clerk.</p></header>{PARAS}<ul><li><a href=a>More</a></li><li><a href=b>Even more</a></li></ul></article>", "Harbour news By a clerk. " + WHOLE),
         (f"<title>Harbour news - Daily Paper</title><body><div class=wrap><h1>Harbour news</h1><div class=story>{PARAS}</div><h3>Most read</h3></div>", "Harbour news " + WHOLE),
+        (f"<body><div class='content sidebar-left two-columns'>{PARAS}</div><div class='sidebarbox'><p>Elsewhere, in other news, a cat, a hat, and a bat, all of them asleep.</p></div><div id=usercomments>{COMMENTS}</div></body>", WHOLE),
+        (f"<body><div class='commentary story'>{PARAS}</div><ins class=adsbygoogle>Buy, now, or, never, ever, again.</ins>", WHOLE),
         (f"<body class='has-sidebar menu-open'><article class='post comments-open'>{PARAS}</article>", WHOLE),
         (f"<body><div class=notice>{PARAS}</div></body>", WHOLE),
         (f"<body><div class=content><section><h2>One</h2><p>{P[0]}</p><p>{P[1]}</p></section><section><h2>Two</h2><p>{P[2]}</p><p>{P[3]}</p></section></div></body>", f"One {P[0]} {P[1]} Two {P[2]} {P[3]}"),
