@@ -100,6 +100,17 @@ def test_numbered(spark, panel):
     assert both.where("a = seq").count() == panel.count() == out.count()
 
 
+def test_all_indicators_share_one_shuffle(spark, panel):
+    b = f.Book()
+    own = indicators.indicators(b)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = b.frame(panel, own)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_no_python_in_smoothing(panel):
     b = f.Book()
     for how in ({}, {"chunk": 100}):
