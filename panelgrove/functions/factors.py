@@ -375,7 +375,8 @@ def ts_skew(x, w):
 def ts_rank(x, w):
     """Average rank of the current value among its window's, as a share of them; values are compared to nine digits."""
     x = Ex(x.book, f"({trimmed(x.s)})", f"({trimmed(x.d)})", x.level)
-    s = "(size(filter(collect_list({x})@, e -> e < {x})) + (size(filter(collect_list({x})@, e -> e = {x})) + 1) / CAST(2 AS DOUBLE)) / count({x})@"
+    own = "element_at(collect_list({x})@, -1)"  # the row's own value, without computing it for each element
+    s = f"(size(filter(collect_list({{x}})@, e -> e < {own})) + (size(filter(collect_list({{x}})@, e -> e = {own})) + 1) / CAST(2 AS DOUBLE)) / count({{x}})@"
     d = "(len(list_filter(list({x})@, lambda e: e < {x})) + (len(list_filter(list({x})@, lambda e: e = {x})) + 1) / CAST(2 AS DOUBLE)) / count({x})@"
     return _rolling(x, w, s, d=d, more=" AND {x} IS NOT NULL")
 
