@@ -276,6 +276,12 @@ def _clear(found: Column, others: Column) -> Column:
     return F.when((F.size(found) == 0) | (F.size(others) == 0), found).otherwise(_let(F.array_sort(F.concat(of_others, own)), free))
 
 
+def _where_kind(spans: Column, test: Callable[[Column], Column]) -> Column:
+    """The spans whose kind meets ``test``. Spark gives a function of two arguments the index as second,
+    defaults too, so that the function here takes the span alone."""
+    return F.filter(spans, lambda s: test(s["kind"]))
+
+
 def find_spans(docs: DataFrame, weights: dict[tuple, float], text: str = "text") -> DataFrame:
     """``docs`` with ``pii_spans``: array of (start, kind, end, base), ordered. Spans the method
     adds overlap no base span, nor an added one of an earlier kind."""
@@ -284,7 +290,7 @@ def find_spans(docs: DataFrame, weights: dict[tuple, float], text: str = "text")
         return F.array_sort(F.transform(F.concat(base, added), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"))))
 
     def by_kind(free: Column) -> Column:
-        each = [_clear(F.filter(free, lambda c, k=k: c["kind"] == k), F.filter(free, lambda c, k=k: c["kind"] < k)) for k in range(len(KINDS))]
+        each = [_clear(_where_kind(free, lambda kind: kind == k), _where_kind(free, lambda kind: kind < k)) for k in range(len(KINDS))]
         return F.concat(*each)
 
     def chosen(spans: Column, base: Column) -> Column:
@@ -333,5 +339,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = find_spans(docs, learn(docs))
     base = F.filter("pii_spans", lambda s: s["base"])
-    counts = [F.size(F.filter("pii_spans", lambda s, i=i: s["base"] & (s["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    counts = [F.size(_where_kind(base, lambda kind: kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii_spans")).alias("spans"))

@@ -1,5 +1,6 @@
 """Text operators against brute force, and on nulls, empty tables, repeats and clashing names."""
 
+import hashlib
 import itertools
 import re
 import time
@@ -462,6 +463,30 @@ def test_pii(spark, docs, none):
     assert pii.learn(none) == {} and pii.find_spans(none, {}).count() == 0
 
 
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    """The query's own columns, not only the spans of the operator."""
+    kinds = ["email", "ip", "card", "phone"]
+    texts = ["a@b.cd 1.2.3.4 4111111111111111 +12 345 678 901", "+12 345 678 901, 1.2.3.4 4.3.2.1 x@y.z u@v.w 9.9.9.9", "4111 1111 1111 1111 x 4111-1111-1111-1111", "999.1.1.1", "", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op10_pii(spark, str(tmp_path)).collect():
+        spans = base_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def test_each_added_span_stays_once(spark):
+    """Of likely spans that overlap no base span, those of the earliest kind stay; none is lost or doubled."""
+    text = "999.1.1.1 " * 3 + "a@b.cd " + "".join(f"deadbeef{i:024d} " for i in range(10, 13)) + "+1 23 4111111111111"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    every = pii.find_spans(d, {("kind", k): 5.0 for k in range(5)}).first().pii_spans
+    found = [tuple(c)[:4] for c in d.select(pii.candidates(F.col("text")).alias("c")).first().c]
+    base = [c for c in found if c[3]]
+    clear = lambda c, others: all(o[2] <= c[1] or c[2] <= o[1] for o in others)
+    added = [c for c in found if not c[3] and clear(c, base)]
+    added = [c for c in added if clear(c, [o for o in added if o[0] < c[0]])]
+    assert [(s.kind, s.start, s.end, s.base) for s in every] == sorted(base + added, key=lambda c: (c[1], c[0])) and {c[0] for c in added} >= {1, 4}
+
+
 def test_pii_of_a_text_with_100_000_spans(spark):
     text = " ".join(f"10.{i % 256}.{i // 256 % 256}.7" if i % 3 else f"u{i}@x.io" for i in range(100_000))
     d = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
