@@ -322,6 +322,69 @@ def test_passages_are_those_of_all_pairs_of_runs(spark):
     assert {r.doc_id for r in out} == {i for i, _ in shared}
 
 
+def qualifies(x, y, min_words=50, min_identity=0.8):
+    """Whether any run of ``x`` has any run of ``y`` like it with the same first and last words, by the edits
+    between all runs."""
+    d = np.arange(len(y) + 1)
+    for a in range(len(x) - min_words + 1):
+        t = np.where(d >= d[:, None], d - d[:, None], 10**6)
+        for n in range(1, len(x) - a + 1):
+            new = t + 1
+            new[:, 1:] = np.minimum(new[:, 1:], t[:, :-1] + (y != x[a + n - 1]))
+            t = np.minimum.accumulate(new - d, axis=1) + d
+            ends = np.outer(np.append(y == x[a], False), np.append(False, y == x[a + n - 1])) & (d > d[:, None])
+            if n >= min_words and (ends & (t <= (1 - min_identity) * np.maximum(n, d - d[:, None]) + 1e-9)).any():
+                return True
+    return False
+
+
+def edited(words, share, rng):
+    """Every so many words one is replaced, left out or followed by a new one."""
+    out = []
+    for w in words:
+        kind = rng.integers(0, 3) if rng.random() < share else 3
+        out += [[int(rng.integers(10**6))], [], [w, int(rng.integers(10**6))], [w]][kind]
+    return out
+
+
+def test_passages_with_edits_link_all_pairs_of_documents(spark):
+    """Pairs by brute force, of edited versions of a passage whose runs of 8 words are mostly broken."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 10**6, 70)
+    docs = {i: np.array([*rng.integers(0, 10**6, 6), *edited(base, share, rng), *rng.integers(0, 10**6, 6)]) for i, share in enumerate([0, 0.04, 0.1, 0.06, 0.12, 0.08, 0.1, 0.05, 0.12, 0.25])}
+    docs[10] = np.array([w for k, w in enumerate(base) if k % 7 != 3])
+    want = {(i, j) for i in docs for j in docs if j < i and qualifies(docs[i], docs[j])}
+    rows = [(i, " ".join(f"x{v}" for v in w)) for i, w in docs.items()]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in out} == want and 12 < len(want) < 55
+    for r in out:
+        a, b = docs[r.doc_id][r.start_word : r.end_word], docs[r.source_id][r.source_start : r.source_end]
+        assert r.n_words == len(a) >= 50 and passages.edits(a, b) <= r.edits and r.identity >= 0.8 - 1e-9
+
+
+def test_edited_passages_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    seen = []
+    for k in range(60):
+        vocabulary = int([3, 8, 30, 10**6][k % 4])
+        y = rng.integers(0, vocabulary, int(rng.integers(50, 75)))
+        x = np.array([*rng.integers(0, vocabulary, 5), *edited(y, [0.1, 0.2, 0.3][k % 3], rng)])
+        hashed = [w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1) for w in (x, y)]
+        seen.append(qualifies(x, y))
+        assert bool(passages.edited_passages(*hashed, [], 50, 0.8)) == seen[-1]
+    assert 10 < sum(seen) < 58
+
+
+def test_copies_of_an_edited_passage_are_not_expanded(spark):
+    """Copies point to the first one, which alone is compared with the edited text."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 10**6, 300).tolist()
+    other = [int(rng.integers(10**6)) if k % 6 == 0 else w for k, w in enumerate(base)]
+    rows = [(i, " ".join(f"x{v}" for v in (other if i == 3 else base))) for i in range(8)]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in out} == {(i, 0) for i in range(1, 8)} and all(r.edits == 0 for r in out if r.doc_id != 3)
+
+
 def test_passages_of_a_repeated_line(spark):
     line = " ".join(f"x{i}" for i in range(12))
     out = passages.shared_passages(spark.createDataFrame([(i, " ".join([line] * 20)) for i in (1, 2)], "doc_id long, text string")).collect()
