@@ -117,7 +117,7 @@ class _Index:
             yield length, pos[same], item[entry[same]]
 
 
-def _scanner(block: list, width: int, text: str, first: bool):
+def _scanner(block: list, width: int, text: str, first: bool, cut: bool = False):
     def make():
         index = _Index(block, width)
         get = index.vocab.get
@@ -157,11 +157,12 @@ def _scanner(block: list, width: int, text: str, first: bool):
             return counts, spans, items
 
         def work(b):
-            counts, spans, items = scan(raw_texts(b, text))
+            texts = raw_texts(b, text)
+            counts, spans, items = scan(texts)
             if not first:
                 spans = [_union(x + y) if y else x for x, y in zip(b.column("hit_spans").to_pylist(), spans)]
                 items = [sorted({*x, *y}) for x, y in zip(b.column("hit_items").to_pylist(), items)]
-            return [counts, spans, items]
+            return [counts, spans, items] + ([[_cut(raw, s) for raw, s in zip(texts, spans)]] if cut else [])
 
         return work
 
@@ -178,20 +179,42 @@ def _union(spans: list[dict]) -> list[dict]:
     return out
 
 
+def _cut(raw: bytes | None, spans: list[dict]) -> str | None:
+    """The text without ``spans``, from the first letter of their first word to the last of their last."""
+    if raw is None:
+        return None
+    parts, end = [], 0
+    if spans:
+        at = [m.span() for m in re.finditer(WORD, raw.lower())]
+        for s in spans:
+            parts.append(raw[end : at[s["start"]][0]])
+            end = at[s["end"] - 1][1]
+    return b"".join([*parts, raw[end:]]).decode("utf-8", "replace")
+
+
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, cut: bool = False
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (word positions, end exclusive, joined where they
-    touch) and ``hit_items`` (ids as sorted strings). Columns of these names are replaced."""
+    touch) and ``hit_items`` (ids as sorted strings). Columns of these names are replaced. With ``cut``
+    the texts come without their hit spans, which saves :func:`remove_spans` a second Python worker a task."""
     new = [("n_words", T.LongType()), ("hit_spans", SPANS), ("hit_items", T.ArrayType(T.StringType()))]
+    last = new + ([(text, T.StringType())] if cut else [])
     out, first = docs.drop(*[n for n, _ in new]), True
     tests = benchmark.select(item_id, item_text).filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
+    held: list = []
     for block in _blocks(tests, width):
-        if not first:
-            out = settle(out, "decontamination")
-        out = map_arrow(out, _scanner(block, width, text, first), new, out.columns)
-        first = False
-    return map_arrow(out, _scanner([], width, text, True), new, out.columns) if first else out
+        if held:
+            out = settle(map_arrow(out, _scanner(held, width, text, first), new, out.columns), "decontamination")
+            first = False
+        held = block
+    return map_arrow(out, _scanner(held, width, text, first, cut), last, out.columns)
+
+
+def mostly_clean(found: DataFrame, drop_share: float = 0.5) -> DataFrame:
+    """Without the documents of which more than ``drop_share`` of the words were hit."""
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.filter(hit <= F.lit(drop_share) * F.col("n_words"))
 
 
 def remove_spans(docs: DataFrame, text: str = "text", drop_share: float = 0.5) -> DataFrame:
@@ -201,23 +224,11 @@ def remove_spans(docs: DataFrame, text: str = "text", drop_share: float = 0.5) -
 
     def make():
         def work(b):
-            out = []
-            for raw, spans in zip(raw_texts(b, text), b.column("hit_spans").to_pylist()):
-                if not spans:
-                    out.append(raw)
-                    continue
-                at = [m.span() for m in re.finditer(WORD, raw.lower())]
-                parts, end = [], 0
-                for s in spans:
-                    parts.append(raw[end : at[s["start"]][0]])
-                    end = at[s["end"] - 1][1]
-                out.append(b"".join([*parts, raw[end:]]))
-            return [[None if x is None else x.decode("utf-8", "replace") for x in out]]
+            return [[_cut(raw, spans) for raw, spans in zip(raw_texts(b, text), b.column("hit_spans").to_pylist())]]
 
         return work
 
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    left = docs.filter(hit <= F.lit(drop_share) * F.col("n_words"))
+    left = mostly_clean(docs, drop_share)
     names = left.columns
     return map_arrow(left, make, [(text, T.StringType())], names).select(*names)
 

@@ -20,3 +20,13 @@ def test_empty_table(spark):
         assert out.count() == 0
         if name != cp.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_decontamination_holds_one_worker_a_task(spark, tmp_path):
+    rows = [(1, "so it was: Der Hafen, war an (diesem) Morgen ruhig. And more words follow here to keep it all in place for now", 1), (2, TEXT, 2), (3, None, 3), (4, "", 4), (5, "nothing of it", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    spark.createDataFrame([(1, "der hafen war an diesem morgen ruhig"), (2, TEXT)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.remove_benchmark(spark, df, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    left = "so it was: . And more words follow here to keep it all in place for now"
+    assert sorted(map(tuple, out.collect())) == [(1, left, len(left)), (3, None, None), (4, "", 0), (5, "nothing of it", 13)]
