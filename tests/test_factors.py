@@ -190,3 +190,20 @@ def test_shown_values(spark):
     for v, y in zip(x, got):
         if v is not None and np.isfinite(v):
             assert abs(v - y) <= max(1e-9, abs(v) * 2e-9)
+
+
+def test_deviations_take_the_same_steps_in_both_engines(spark):
+    """Values that differ in their last digits only: what is left of them after subtraction depends on each step."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"code": np.repeat(np.arange(10), 40), "seq": np.tile(np.arange(1, 41), 10), "sector": "a"})
+    rows["date"] = rows["seq"]
+    rows["x"], rows["y"] = 1e5 * (1 + 10.0 ** rng.integers(-9, -3, 400) * rng.normal(size=400)), rng.normal(size=400) * 1e4 + 2e4
+    b = f.Book()
+    made = {f"{k}{w}": e for w in (2, 5, 12) for k, e in {"r": f.ts_corr(b.x, b.y, w), "q": f.ts_corr(b.y, b.x, w), "c": f.ts_cov(b.x, b.y, w), "s": f.ts_std(b.x, w), "v": f.ts_var(b.x, w)}.items()}
+    got = b.frame(spark.createDataFrame(rows), made).toPandas().sort_values(["code", "date"])
+    con = duckdb.connect()
+    con.register("rows", rows)
+    want = con.execute(b.sql("SELECT * FROM rows", made)).df().sort_values(["code", "date"])
+    for n in made:
+        np.testing.assert_array_equal(got[n].to_numpy(float), want[n].to_numpy(float), err_msg=n)
