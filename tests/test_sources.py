@@ -62,3 +62,21 @@ def test_census_of_many_equal_counts(spark):
         upto += n
         assert by[op]["n"] == n and by[op]["cumulative"] == pytest.approx(upto / 504) and by[op]["share"] == pytest.approx(n / 504)
     assert len(got) == 501 and corpus.census(rows.limit(0)).count() == 0
+
+
+def test_bar_totals_do_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 and such sums have other last digits in another order."""
+    for t in ("nation", "region", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    lines = [(n, 1, 1, 0.1 * n, round(0.1 * n, 1)) for n in (1, 2, 3, 6, 7)]
+    shape = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double"
+    seen = set()
+    for i, order in enumerate(([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 1, 0, 4, 3], [1, 4, 2, 0, 3])):
+        rows = spark.createDataFrame([lines[k] for k in order], shape).coalesce(1).selectExpr("*", "0L AS l_suppkey", "TIMESTAMP '2026-01-05' AS l_shipdate")
+        (tmp_path / str(i)).mkdir()
+        for t in ("nation", "region", "supplier"):
+            (tmp_path / str(i) / f"{t}.parquet").symlink_to(tmp_path / f"{t}.parquet")
+        rows.write.parquet(str(tmp_path / str(i) / "lineitem.parquet"))
+        (bar,) = bars.bars(spark, str(tmp_path / str(i))).collect()
+        seen.add((bar["volume"], bar["vwap"]))
+    assert len(seen) == 1 and seen.pop() == (pytest.approx(1.9), pytest.approx(1.0))
